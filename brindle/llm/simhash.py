@@ -69,8 +69,9 @@ def simhash_groups(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
     prints: (doc_id, fp). Fingerprints link when they differ in at most three bits. Cut in two
     segments, one of them differs in at most one bit, so both have a one-wildcard variant of that
-    segment in common: each distinct fingerprint is put under its 64 variants, variants met by two
-    or more are joined back, and their members compared bit by bit inside tasks. A variant with more
+    segment in common: each distinct fingerprint is put under its 64 variants. Of a variant met twice, the
+    XOR of its two fingerprints tells if they link; variants met more often are joined back, and their
+    members compared bit by bit inside tasks. A variant with more
     than ``block`` members is cut into blocks, compared block with block, so that no task holds more;
     tasks return links to the smallest document of each group found, never all pairs.
 
@@ -85,14 +86,17 @@ def simhash_groups(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         return [segment.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).bitwiseOR(F.lit((first + i) << 32)) for i in range(32)]
 
     put = one.where("node is not null").select("fp", "node", F.explode(F.array(*variants(low, 0), *variants(high, 32))).alias("variant"))
-    met = keep(put.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    member = put.join(met, "variant").withColumn("blocks", F.ceil(2 * F.col("n") / block).cast("int"))
+    met = put.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"), F.max("node").alias("a"), F.expr("bit_xor(fp)").alias("x"))
+    met = keep(met.where("n > 1"))
+    twos = met.where(F.col("n") == 2).where(F.bit_count("x") <= MAX_BITS).select("a", "b")
+    more = met.where("n > 2").select("variant", "n")
+    member = put.join(more, "variant").withColumn("blocks", F.ceil(2 * F.col("n") / block).cast("int"))
     member = member.withColumn("blocks", F.when(F.col("n") <= block, 1).otherwise(F.col("blocks")))
     member = member.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = member.groupBy("variant", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     cells = cell.agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("members")).where("size(members) > 1").select("members").distinct()
-    links = keep(cells.mapInArrow(_close, "a long, b long").distinct())
+    links = keep(cells.mapInArrow(_close, "a long, b long").unionAll(twos).distinct())
     found = components(links).withColumnRenamed("root", "__root")
     return one.join(found, "node", "left").select("fp", F.coalesce("__root", "node").alias("component_id"))
 
