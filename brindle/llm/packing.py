@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,14 @@ _KEPT: dict[str, dict] = {}
 _MOST_KEPT = 700_000
 
 
+def pack_ids(ids) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class Ids:
     """Token ids of texts as packed 32-bit numbers, word by word.
 
@@ -28,16 +39,46 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), _KEPT.setdefault(path, {})
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
+        """Look up the words' ids. Letters before final points and commas are a token run of their own, whatever their case."""
         if len(self.kept) + len(words) > _MOST_KEPT:
             self.kept.clear()
-        new = [w for w in words if w not in self.kept]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                self.kept[w] = np.array(e.ids, dtype="<u4").tobytes()
+        kept, parts, need, odd, model = self.kept, [], set(), [], self.tokenizer.model.tokenize
+        for w in words.difference(kept):
+            core = w.rstrip(b".,")
+            if core.isalpha() or core and not core.isascii() and normalize("NFC", core.decode()).lower().isalpha():
+                low = core.lower()
+                if low != w:
+                    parts.append((w, low, w[len(core) :]))
+                if low not in kept:
+                    if low.isascii():
+                        kept[low] = pack_ids(t.id for t in model(low.decode()))
+                    else:
+                        need.add(low)
+            else:
+                odd.append(w)
+        self._encode_runs(list(need))
+        for w in odd:
+            kept[w] = pack_ids(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
+        for w, low, tail in parts:
+            if tail and tail not in kept:
+                kept[tail] = pack_ids(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
+            kept[w] = kept[low] + kept[tail] if tail else kept[low]
+
+    def _encode_runs(self, new: list[bytes], at_once: int = 1024) -> None:
+        """Encode runs of letters beyond ASCII, joined by spaces: each is one run of the tokenizer too, and its last token ends a word."""
+        for i in range(0, len(new), at_once):
+            part = new[i : i + at_once]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self.kept[w] = raw[at:end]
+                at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
@@ -132,7 +173,7 @@ def plan(counts: dict[int, int], room: int = 2048) -> list[tuple[tuple[int, ...]
         made.append((tuple(filling), 1 + more))
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 2048, end: int = 0, buckets: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 2048, end: int = 0, buckets: int = 32) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece and its place.
 
     Only the counts of the at most ``room`` lengths go to the driver, where plan() decides the
