@@ -202,3 +202,17 @@ def quality(rows, min_docs=20, max_share=0.05, keep_share=0.5):
         facts = (len(ws), sum(map(len, ws)), sum((t or "").count(c) for c in "#*$%&|<>"), len(full) - len(set(full)), len(rep), failed)
         out.append((*facts, not failed and rest >= keep_share * len(ws), "\n".join(left)))
     return out
+
+
+def best_fit_decreasing(counts, room):
+    """Sequences that plain best-fit decreasing needs."""
+    n, gaps = 0, [0] * (room + 1)
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            gap = next((g for g in range(length, room + 1) if gaps[g]), None)
+            if gap is None:
+                n, gap = n + 1, room
+            else:
+                gaps[gap] -= 1
+            gaps[gap - length] += 1
+    return n
