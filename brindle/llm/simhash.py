@@ -89,7 +89,7 @@ def simhash_groups(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     met = put.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"), F.max("node").alias("a"), F.expr("bit_xor(fp)").alias("x"))
     met = keep(met.where("n > 1"))
     twos = met.where(F.col("n") == 2).where(F.bit_count("x") <= MAX_BITS).select("a", "b")
-    more = met.where("n > 2").select("variant", "n")
+    more = keep(met.where("n > 2").select("variant", "n"))  # few: with its true size known, Spark can spare the variants a second shuffle
     member = put.join(more, "variant").withColumn("blocks", F.ceil(2 * F.col("n") / block).cast("int"))
     member = member.withColumn("blocks", F.when(F.col("n") <= block, 1).otherwise(F.col("blocks")))
     member = member.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
