@@ -9,6 +9,7 @@ from .common import read
 from .embedding_dedup import embedding_links
 from .lm_scoring import score_documents
 from .mixing import mix
+from .oracle import ORACLE_SQL
 from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import joined, secret_scan
@@ -17,6 +18,8 @@ from .simhash import simhash_dedup
 from .substring_dedup import window_removal
 from .warc_derivatives import derivatives
 
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -76,5 +79,3 @@ QUERIES = {
         op6_simhash_dedup, op7_extendible_sharding, op8_substring_dedup, op9_best_fit_packing, op10_quality_rules,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
