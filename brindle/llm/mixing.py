@@ -69,9 +69,27 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _settle(items: Column, mass: Column, room: Column, seed: int) -> Column:
+    """Round items of (rid, size), largest first, each paired with all that is after it: {mass, room: what is left for the rest, done: [rid, up]}.
+
+    All have one rate, mass / room. An item goes up with that probability and takes its words from the rest's mass, or
+    goes down and leaves them its share; where only one of the two leaves a mass that the rest can hold, that one is taken.
+    """
+
+    def step(s: Column, x: Column) -> Column:
+        over, under = x["size"] - s["mass"], s["mass"] - (s["room"] - x["size"])  # words too many if it goes up, too few if down
+        drawn = _uniform(F.lit(seed), x["rid"]) * s["room"] < s["mass"]
+        up = F.when((over <= 0) & (under <= 0), drawn).otherwise(F.greatest(over, F.lit(0.0)) < F.greatest(under, F.lit(0.0)))
+        room = s["room"] - x["size"]
+        mass = F.greatest(F.lit(0.0), F.least(room, F.when(up, s["mass"] - x["size"]).otherwise(s["mass"])))
+        return F.struct(mass.alias("mass"), room.alias("room"), F.concat(s["done"], F.array(F.struct(x["rid"].alias("rid"), up.alias("up")))).alias("done"))
+
+    return F.aggregate(items, F.struct(mass.alias("mass"), room.alias("room"), F.array().cast("array<struct<rid:long,up:boolean>>").alias("done")), step)
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0, fan_in: int = 32, seed: int = 17,
+    weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0, fan_in: int = 32, seed: int = 17, large: int = 128,
 ) -> DataFrame:
     """(doc_id, text_key, source, size, source_size, target, copies, taken) for each row.
 
@@ -79,9 +97,12 @@ def mix(
     is given, the fraction rounded. Rounding pairs two fractional documents of a source and moves words
     from one to the other, at random, until one has none or all of its size; the pair's words stay as they
     were, and each document's expectation too. Chunks of about ``fan_in`` documents are folded to one
-    fractional document each, those again, up a tree, until each source has one, which is drawn. So a
-    source's taken words differ from its target by less than one document. Random numbers follow from
-    ``seed`` and the documents, so that reruns agree.
+    fractional document each, those again, up a tree, until each source has one, which is drawn. Documents
+    with more than 1 / ``large`` of their source's words, so fewer than ``large`` a source, come first, each
+    paired with all the rest as one: what they take or leave changes the rest's rate. So a source's taken words
+    differ from its target by less than 1 / ``large`` of its size, if the others can make up for the large ones; for
+    that, one that alone overshoots what is left isn't drawn. Random numbers follow from ``seed`` and the
+    documents, so that reruns agree.
 
     Null text: size 0. Null source: a source of its own, last in order. Documents of size 0 get the whole
     part of the copies and take nothing. Null and equal ids: rows that differ in text or source are rounded
@@ -96,14 +117,22 @@ def mix(
     rows = rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count(F.lit(1)).alias("n"))
     rows = keep(rows.withColumn("rid", F.xxhash64("doc_id", "source", "text_key")))
     goals = keep(source_targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), weights, budget, most))
-    with_goal = null_safe(rows, goals, ["source"]).withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    with_goal = with_goal.withColumn("whole", F.floor("rate").cast("long"))
+    goals = goals.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))).withColumn("whole", F.floor("rate").cast("long"))
     mass = (F.col("size") * F.col("n")).cast("double")
+    is_large = mass * large > F.col("source_size")
+    first = null_safe(rows, goals, ["source"]).where(is_large)
+    first = first.groupBy("source", "source_size", (F.col("rate") - F.col("whole")).alias("part")).agg(F.array_sort(F.collect_list(F.struct((-mass).alias("order"), "rid", mass.alias("size")))).alias("items"))
+    room = F.col("source_size").cast("double")
+    first = keep(first.select("source", _settle(F.col("items"), room * F.col("part"), room, seed).alias("state")))
+    rest = first.select("source", F.coalesce(F.try_divide("state.mass", "state.room"), F.lit(0.0)).alias("rest_part"))
+    goals = keep(null_safe(goals, rest, ["source"], "left").withColumn("part", F.coalesce("rest_part", F.col("rate") - F.col("whole"))).drop("rest_part"))
+    with_goal = null_safe(rows, goals, ["source"])
     chunks = F.ceil(F.col("n_docs") / fan_in)
-    level = with_goal.select("source", "rid", mass.alias("size"), (mass * (F.col("rate") - F.col("whole"))).alias("mass"), F.pmod(F.xxhash64(F.lit(seed), "rid"), chunks).alias("chunk"))
+    level = with_goal.where(~is_large).select("source", "rid", mass.alias("size"), (mass * F.col("part")).alias("mass"), F.pmod(F.xxhash64(F.lit(seed), "rid"), chunks).alias("chunk"))
+    certain = level.where("mass > 0 and mass >= size").select("rid", F.lit(True).alias("up"))  # the large ones left all to the rest
     level = level.where("mass > 0 and mass < size")
     n = goals.agg(F.max("n_docs")).first()[0] or 0
-    n, decided = -(-n // fan_in), []
+    n, decided = -(-n // fan_in), [first.select(F.explode("state.done").alias("d")).select("d.rid", "d.up"), certain]
     while True:
         # Largest first: later, smaller ones settle it, so that what is left at the end is small.
         items = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "rid", "size", "mass")))

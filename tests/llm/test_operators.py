@@ -144,6 +144,26 @@ def test_mix(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("large", [1, 4, 128])
+def test_mix_with_large_documents(spark, large):
+    lengths = {"a": [3000] + [40] * 100, "b": [500] * 10 + [10] * 400, "c": [200] * 50}
+    data = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, every in lengths.items() for n in every)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(1.0,), fan_in=8, large=large).collect()
+    goal, taken = brute.targets({s: sum(x) for s, x in lengths.items()}, (1,)), Counter()
+    for r in got:
+        assert r["copies"] in brute.allowed_copies(r["target"], r["source_size"])
+        taken[r["source"]] += r["taken"]
+    near = {s: max(lengths[s]) if large == 1 else sum(lengths[s]) / large for s in lengths}
+    assert len(got) == len(data) and all(abs(taken[s] - goal[s]) <= near[s] for s in goal)
+
+
+def test_mix_where_the_rest_takes_all(spark):
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate([3000] + [40] * 100)], "doc_id long, text string, source string")
+    for seed in (1, 2, 3):
+        found = mixing.mix(docs, budget=11 / 7, seed=seed, large=4)
+        assert abs(found.agg(F.sum("taken")).first()[0] - 11000) <= 40
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 8))
