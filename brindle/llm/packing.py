@@ -173,18 +173,21 @@ def plan(counts: dict[int, int], room: int = 2048) -> list[tuple[tuple[int, ...]
         made.append((tuple(filling), 1 + more))
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 2048, end: int = 0, buckets: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 2048, end: int = 0, per_bucket: int = 1 << 16) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece and its place.
 
     Only the counts of the at most ``room`` lengths go to the driver, where plan() decides the
     fillings; that plan, bounded by ``room`` too, goes back to the tasks. Pieces of a length are
-    numbered in hash buckets whose sizes are summed first, so that a hot length is never in one task.
+    numbered in hash buckets whose sizes are summed first, so that a hot length is never in one task;
+    their number grows with the pieces, so that a bucket has about ``per_bucket`` of them at most.
 
     Null text: empty, a piece with the end id alone. Null ids, repeated rows: each row is packed.
     Empty table: no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    cut = keep(pieces(docs, tokenizer, id_col, text_col, room, end).withColumn("bucket", F.pmod(F.xxhash64("rid", "piece"), F.lit(buckets)).cast("int")))
+    cut = keep(pieces(docs, tokenizer, id_col, text_col, room, end))
+    buckets = max(32, -(-cut.count() // per_bucket))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("rid", "piece"), F.lit(buckets)).cast("int"))
     sizes = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = keep(sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))

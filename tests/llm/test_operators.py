@@ -256,6 +256,7 @@ def test_packing(docs, rows, empty):
     odd = [(1, "It's we'll A.B.C ..,, <|endoftext|>x İstanbul ΣΑΣ. ﬁ½², 12.5,3"), (1, "ŉ. é é. ́a ᄀ ᅡ"), (1, None), (None, "Ａ. ß,")]
     spark = docs.sparkSession
     check_packed(packing.pack(spark.createDataFrame(odd, "doc_id long, text string"), tokenizer_path(), room=16).collect(), odd, 16)
+    check_packed(packing.pack(docs, tokenizer_path(), per_bucket=3).collect(), [r[:2] for r in rows])  # more buckets than at first
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
