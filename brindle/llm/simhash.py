@@ -113,6 +113,17 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; rows without an id stay."""
-    said = simhash_dedup(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return null_safe(docs, said, ["doc_id"], "left_semi")
+    """One row for each group: the one whose doc_id is the smallest; rows without an id stay. Same columns.
+
+    Repeated rows: rows of one id and one text (null as empty) stay once. Different texts under one id each
+    stay where the id is the smallest of its group.
+    """
+    said = simhash_dedup(docs).where("doc_id = component_id or doc_id is null")
+    said = keep(said.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    twice = said.where("n > 1 and doc_id is not null").select("doc_id")
+    once = null_safe(docs, said.where("n = 1 or doc_id is null").select("doc_id"), ["doc_id"], "left_semi")
+    if twice.isEmpty():
+        return once
+    row = F.struct(*docs.columns)
+    more = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return once.unionAll(more.agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))

@@ -190,6 +190,13 @@ def test_simhash(docs, rows, empty):
     assert simhash.simhash_dedup(empty).count() == 0
 
 
+def test_one_of_each_with_repeated_rows(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, None), (1, ""), (2, "a b c d"), (3, "w x y z"), (None, "q"), (None, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"] or "") for r in simhash.one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(1, "a b c d"), (1, ""), (3, "w x y z"), (None, "q"), (None, "q")], key=repr)
+
+
 def test_simhash_links_at_three_bits(spark):
     rng = random.Random(4)
     fps = [rng.getrandbits(64) for _ in range(40)]
