@@ -1 +1,3 @@
-"""Registered queries and their SQL."""
+"""Queries by area; importing this package registers all of them in ``catalogue``."""
+
+from . import catalogue, analytic, extensions, scalar, streams  # noqa: F401, I001

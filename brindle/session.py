@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -28,3 +30,12 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views of the tables, for SQL text."""
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="brindle-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")

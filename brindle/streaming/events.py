@@ -35,6 +35,14 @@ def once_each(events: DataFrame, key: str = "event_id", late: str = "1 hour") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def followed_by(events: DataFrame, first: str, then: str, within: str, late: str = "1 hour") -> DataFrame:
+    """Pairs of a user's events, ``then`` at most ``within`` after ``first``; state older than that is dropped."""
+    a = events.where(F.col("event_type") == first).select(F.col("event_id").alias(first), F.col("user_id").alias("__a"), F.col("ts").alias("__from")).withWatermark("__from", late)
+    b = events.where(F.col("event_type") == then).select(F.col("event_id").alias(then), F.col("user_id").alias("__b"), F.col("ts").alias("__to")).withWatermark("__to", late)
+    near = (F.col("__to") > F.col("__from")) & (F.col("__to") <= F.col("__from") + F.expr(f"interval {within}"))
+    return a.join(b, (F.col("__a") == F.col("__b")) & near).select(first, then)
+
+
 def running_totals(events: DataFrame) -> DataFrame:
     """(user_id, n, total) after each batch, kept as state of the user."""
 
@@ -52,3 +60,11 @@ def running_totals(events: DataFrame) -> DataFrame:
 def to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run over what is there, into a memory table."""
     return df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run over what is there, into Parquet: batches are added, or each replaces the last in complete mode."""
+    out = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        return out.format("parquet").start(path)
+    return out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()

@@ -1,4 +1,4 @@
-"""Every registered query of the relational part against its SQL in DuckDB, names and values."""
+"""Every registered query of the relational part against its SQL in DuckDB, names, types and values."""
 
 import duckdb
 import pytest
@@ -7,6 +7,8 @@ from brindle.plans import catalogue
 from brindle.session import TABLES
 
 DATA = "/root/testdata/sf0.001"
+#: Names of the types in DuckDB by Spark's.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 
 
 def rows(names, found):
@@ -25,7 +27,7 @@ def db():
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_equals_sql(spark, db, name):
     df, sql = catalogue.QUERIES[name](spark, DATA), db.sql(catalogue.ORACLE_SQL[name])
-    assert sorted(df.columns) == sorted(sql.columns)
+    assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema} == dict(zip(sql.columns, map(str, sql.types)))
     assert rows(df.columns, df.collect()) == rows(sql.columns, sql.fetchall())
 
 

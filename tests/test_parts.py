@@ -38,6 +38,25 @@ def test_salted_join_equals_join(spark):
     assert sorted(salted_join(large, small, "k", 8).collect()) == sorted(large.join(small, "k").collect())
 
 
+def test_bucketed_join_needs_no_shuffle(spark, tmp_path):
+    for name, df in (("left_b", spark.range(2000).select((F.col("id") % 97).alias("k"), "id")), ("right_b", spark.range(97).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")))):
+        files.write_bucketed(df, name, ["k"], 4)
+    joined = spark.table("left_b").hint("merge").join(spark.table("right_b"), "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 2000
+    for name in ("left_b", "right_b"):
+        spark.sql(f"drop table {name}")
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from brindle.plans import catalogue
+
+    plan = catalogue.QUERIES["pricing_summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_shipdate), LessThanOrEqual(l_shipdate" in plan
+    assert "l_orderkey" not in plan[plan.index("ReadSchema") :]
+
+
 def test_forward_fill(spark):
     df = spark.createDataFrame([(1, 1, 7), (1, 2, None), (1, 3, 8), (2, 1, None)], "g int, o int, v int")
     assert [r["v"] for r in forward_fill(df, ["g"], "o", "v").orderBy("g", "o").collect()] == [7, 7, 8, None]
