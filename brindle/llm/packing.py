@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import zlib
 from array import array
+from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 from .common import keep, ship, sliced
 
 _PIECES = "doc_id long, rid long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a Python worker keeps between tasks, by tokenizer file.
-_KEPT: dict[str, dict] = {}
-_MOST_KEPT = 700_000
+#: Words whose ids a Python worker keeps between tasks, at most.
+_MOST_KEPT = 400_000
 
 
 def pack_ids(ids) -> bytes:
@@ -38,7 +38,7 @@ class Ids:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), _KEPT.setdefault(path, {})
+        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -87,13 +87,19 @@ class Ids:
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(1)
+def ids_by(path: str) -> Ids:
+    """One for a Python worker, so that tasks neither load the file again nor hold it twice."""
+    return Ids(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, rid, piece, start, length, ids_crc32): each row's ids and an end id, cut where longer than ``room``."""
     tail = int(end).to_bytes(4, "little")
 
     def work(batches):
-        ids = Ids(tokenizer)
-        for batch in sliced(batches, 500):
+        ids = ids_by(tokenizer)
+        for batch in sliced(batches, 100):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids.encode(batch.column(2).to_pylist())):
                 raw += tail
