@@ -80,9 +80,10 @@ def secret_scan(
     """(doc_id, text_key, spans, live, n_assign, n_access, n_hex, n_live, n_shared) for each row.
 
     Values of the base patterns are candidates. Their SHA-256 is counted over the corpus by distinct
-    repositories, summed to owners: a value that more than ``most_owners`` owners or ``most_repos``
-    repositories hold is a widely copied example (n_shared); one that looks generated and is held by
-    fewer is live, and gets a further span of kind "live" over the value alone. One span per value and place.
+    repositories, summed to owners: a value that more than ``most_owners`` owners hold, or several owners
+    in more than ``most_repos`` repositories, is a widely copied example (n_shared), but never one of a single
+    owner; any other that looks generated is live, and gets a further span of kind "live" over the value
+    alone. One span per value and place.
 
     Null text: empty. Null repository or owner: as "". Repeated rows: each is returned. Null ids: as any
     other. Empty table: no rows. Other columns are not read.
@@ -91,7 +92,7 @@ def secret_scan(
     counts = keep(ownership(found))
     each = found.select("rid", F.explode("spans").alias("s")).select("rid", F.sha2("s.value", 256).alias("value_hash"), "s.*")
     each = keep(each)
-    few = (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
+    few = (F.col("n_owners") <= most_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= most_repos))
     live = F.when(few & plausible(F.col("value")), F.struct(F.lit(LIVE).alias("kind"), F.col("v_start").alias("start"), F.col("end")))
     said = each.join(counts, "value_hash").select("rid", live.alias("live"), (~few).cast("long").alias("shared"))
     said = said.groupBy("rid").agg(F.array_sort(F.collect_set("live")).alias("live"), F.sum("shared").alias("n_shared"))
