@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, packing, quality_rules, secret_scan, simhash
+from brindle.llm import mixing, near_copies, packing, quality_rules, secret_scan
 from brindle.llm.common import keep
 from brindle.llm.queries import tokenizer_path
 
@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies, by five-word shingles or SimHash: the one with the smallest doc_id."""
+    return near_copies.one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
