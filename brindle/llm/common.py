@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; bytes.split() cuts the same way.
@@ -39,27 +40,50 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, local mode takes a temporary one; a cluster is refused."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="brindle-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders that keep() wrote and nothing has dropped yet.
+_written: list[str] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs no more than the step at hand,
-    and gives Spark the true size of the table for its choice of joins.
+    and gives Spark the true size of the table for its choice of joins. Such tables stay until
+    drop_kept(), as what an operator returns may read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_kept(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete the tables of keep(), save those that ``but`` reads; for when results are written."""
+    needed = " ".join(but.inputFiles()) if but is not None else ""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _written if p.rsplit("/", 1)[1] not in needed]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _written.remove(path)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that columns put beside it can't clash with any."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal names, null equal to null; the keys of the left side stay."""
     named = right.withColumnsRenamed({k: f"__{k}" for k in keys})

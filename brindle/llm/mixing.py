@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, null_safe
+from .common import WORD, keep, null_safe, whole_row
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, n_docs, target): the words that each source shall give; sizes: (source, size).
+    """(sid, source, source_size, target): the words that each source shall give, sid its place; sizes: (source, size).
 
     Targets share ``budget`` times all words by weight; none is above ``most`` times its source's
     words, and what is above goes to the others by weight, until none is above. As all shares grow by
     one factor, sources reach their limit in the order of limit / weight, so running sums give the
     factor at which the rest stays below. One row per source; sources are few against documents.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    names = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(names) - 1, F.lit(len(weights))) + 1
-    total = total.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place.cast("int")))
+    total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    total = total.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    total = total.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int")))
     total = total.withColumn("limit", most * F.col("source_size"))
     order = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
     upto, from_here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
@@ -31,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = 1
     total = total.withColumn("share", F.col("weight") * rest / F.sum("weight").over(from_here))
     # The first source in order that stays below its limit sets the level for itself and all after it.
     level = F.first(F.when(F.col("share") <= F.col("limit"), F.col("share") / F.col("weight")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return total.select("source", "source_size", "n_docs", F.least("limit", F.coalesce(level * F.col("weight"), F.col("limit"))).alias("target"))
+    return total.select("sid", "source", "source_size", F.least("limit", F.coalesce(level * F.col("weight"), F.col("limit"))).alias("target"))
 
 
 def _uniform(*keys: Column) -> Column:
@@ -39,7 +40,9 @@ def _uniform(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
 
 
-_ITEM = "struct<rid:long,size:double,mass:double>"
+#: Documents are rounded by classes of size, each so many times as large as the one below.
+STEP = 16.0
+_ITEM = "struct<rid:long,key:long,size:double,mass:double>"
 
 
 def _fold(items: Column, seed: int) -> Column:
@@ -48,15 +51,12 @@ def _fold(items: Column, seed: int) -> Column:
     def paired(state: Column, x: Column) -> Column:
         c = state["carry"]
         gain_c, gain_x = F.least(c["size"] - c["mass"], x["mass"]), F.least(c["mass"], x["size"] - x["mass"])
-        up = _uniform(F.lit(seed), c["rid"], x["rid"]) * (gain_c + gain_x) < gain_x  # more mass for c, at odds that keep all expectations
+        up = _uniform(F.lit(seed), c["key"], x["key"]) * (gain_c + gain_x) < gain_x  # more mass for c, at odds that keep all expectations
         full_c, full_x = c["size"] - c["mass"] <= x["mass"], x["size"] - x["mass"] <= c["mass"]
         mass_c = F.when(up, F.when(full_c, c["size"]).otherwise(c["mass"] + x["mass"])).otherwise(F.when(full_x, c["mass"] - (x["size"] - x["mass"])).otherwise(0.0))
         mass_x = F.when(up, F.when(full_c, x["mass"] - (c["size"] - c["mass"])).otherwise(0.0)).otherwise(F.when(full_x, x["size"]).otherwise(c["mass"] + x["mass"]))
-        new = F.array(
-            F.struct(c["rid"].alias("rid"), c["size"].alias("size"), mass_c.alias("mass")),
-            F.struct(x["rid"].alias("rid"), x["size"].alias("size"), mass_x.alias("mass")),
-        )
-        return F.transform(F.array(new), lambda two: _state(two, state["done"]))[0]
+        item = lambda i, mass: F.struct(i["rid"].alias("rid"), i["key"].alias("key"), i["size"].alias("size"), mass.alias("mass"))
+        return F.transform(F.array(F.array(item(c, mass_c), item(x, mass_x))), lambda two: _state(two, state["done"]))[0]
 
     def _state(two: Column, done: Column) -> Column:
         whole = lambda i: (i["mass"] <= 0) | (i["mass"] >= i["size"])
@@ -69,45 +69,79 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def _settle(items: Column, mass: Column, room: Column, seed: int) -> Column:
-    """Round items of (rid, size), largest first, each paired with all that is after it: {mass, room: what is left for the rest, done: [rid, up]}.
+def _coin(last: DataFrame, seed: int) -> DataFrame:
+    """Draw the last fractional document of each source's class: (sid, rid, up, part, done), part the rate for the classes below.
 
-    All have one rate, mass / room. An item goes up with that probability and takes its words from the rest's mass, or
-    goes down and leaves them its share; where only one of the two leaves a mass that the rest can hold, that one is taken.
+    It is paired with all smaller documents as one: ``moved`` words change sides, as many as it needs to be whole,
+    or as few as the smaller ones can give or hold. Up or down, at odds that keep its expectation and theirs.
+    last: (sid, part, room, state); room and state null where the source has no such class, state.carry where none is left.
     """
-
-    def step(s: Column, x: Column) -> Column:
-        over, under = x["size"] - s["mass"], s["mass"] - (s["room"] - x["size"])  # words too many if it goes up, too few if down
-        drawn = _uniform(F.lit(seed), x["rid"]) * s["room"] < s["mass"]
-        up = F.when((over <= 0) & (under <= 0), drawn).otherwise(F.greatest(over, F.lit(0.0)) < F.greatest(under, F.lit(0.0)))
-        room = s["room"] - x["size"]
-        mass = F.greatest(F.lit(0.0), F.least(room, F.when(up, s["mass"] - x["size"]).otherwise(s["mass"])))
-        return F.struct(mass.alias("mass"), room.alias("room"), F.concat(s["done"], F.array(F.struct(x["rid"].alias("rid"), up.alias("up")))).alias("done"))
-
-    return F.aggregate(items, F.struct(mass.alias("mass"), room.alias("room"), F.array().cast("array<struct<rid:long,up:boolean>>").alias("done")), step)
+    last = last.select("sid", "part", "room", "state.done", "state.carry.*").withColumn("p", F.col("mass") / F.col("size")).withColumn("rest", F.col("room") * F.col("part"))
+    moved = F.least("size", F.col("rest") / (1 - F.col("p")), (F.col("room") - F.col("rest")) / F.col("p"))
+    up = _uniform(F.lit(seed), F.col("key")) < F.col("p")
+    rest = F.when(up, F.col("rest") - (1 - F.col("p")) * moved).otherwise(F.col("rest") + F.col("p") * moved)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(rest, F.col("room"))))
+    return last.select("sid", "rid", up.alias("up"), F.when((F.col("room") > 0) & F.col("rid").isNotNull(), part).otherwise(F.col("part")).alias("part"), "done")
+
+
+def pivotal(docs: DataFrame, parts: DataFrame, seed: int = 17, fan_in: int = 256) -> DataFrame:
+    """(rid, up) for each document: whether its fraction is rounded up.
+
+    docs: (rid, key, sid, words), rid its own number, key what random numbers follow from, sid the source's
+    number, words above 0; parts: (sid, part), part the fraction of each document's copies to be rounded.
+
+    Two fractional documents of a source are paired: words move from one to the other, at random, until one
+    has none or all of its size; the pair's words stay as they were, and each document's expectation too.
+    Documents are paired with those of their class of size: chunks of about ``fan_in``, largest first, leave
+    one fractional document each, those are paired again, up a tree, until the class has one. That one is
+    paired with all smaller documents of the source as one (see _coin), and the next class goes on with
+    the rate that is left. So what a source misses at the end is a small document's size, unless the
+    small ones can't make up for a large one. Classes are as many as the powers of STEP in the largest size.
+    """
+    size_class = F.floor(F.log(STEP, F.col("words"))).cast("int")
+    docs = keep(docs.withColumn("cls", size_class).sortWithinPartitions("cls"))
+    below = Window.partitionBy("sid").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
+    own = docs.groupBy("sid", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    own = keep(own.select("sid", "cls", "n", F.coalesce(F.sum("words").over(below), F.lit(0.0)).alias("room")))
+    decided = [docs.limit(0).select("rid", F.lit(True).alias("up"))]
+    for cls, n in own.groupBy("cls").agg(F.max("n")).orderBy(F.desc("cls")).collect():  # one row for a class
+        here = own.where(F.col("cls") == cls).select("sid", "n", "room").join(parts, "sid")
+        chunk = F.pmod(F.xxhash64(F.lit(seed), "key"), F.ceil(F.col("n") / fan_in)).alias("chunk")
+        level = docs.where(F.col("cls") == cls).join(here, "sid").select("sid", chunk, "rid", "key", F.col("words").alias("size"), (F.col("words") * F.col("part")).alias("mass"))
+        decided.append(level.where("mass <= 0 or mass >= size").select("rid", (F.col("mass") > 0).alias("up")))
+        level, chunks = level.where("mass > 0 and mass < size"), -(-n // fan_in)
+        while True:
+            items = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "key", "rid", "size", "mass")))
+            items = F.transform(items, lambda i: F.struct(i["rid"].alias("rid"), i["key"].alias("key"), i["size"].alias("size"), i["mass"].alias("mass")))
+            folded = level.groupBy("sid", "chunk").agg(items.alias("items")).select("sid", "chunk", _fold(F.col("items"), seed).alias("state"))
+            if chunks <= 1:
+                break
+            done = keep(folded)
+            decided.append(done.select(F.explode("state.done").alias("d")).select("d.rid", "d.up"))
+            left = done.where("state.carry is not null").select("sid", "chunk", "state.carry.*")
+            level, chunks = left.withColumn("chunk", F.floor(F.col("chunk") / fan_in)), -(-chunks // fan_in)
+        last = parts.join(here.select("sid", "room"), "sid", "left").join(folded.drop("chunk"), "sid", "left")
+        drawn = keep(_coin(last, seed))
+        decided += [drawn.select(F.explode("done").alias("d")).select("d.rid", "d.up"), drawn.where("rid is not null").select("rid", "up")]
+        parts = drawn.select("sid", "part")
+    return reduce(DataFrame.unionAll, decided)
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0, fan_in: int = 32, seed: int = 17, large: int = 128,
+    weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0, fan_in: int = 256, seed: int = 17,
 ) -> DataFrame:
     """(doc_id, text_key, source, size, source_size, target, copies, taken) for each row.
 
     size: words of the text. Each document shall be copied target / source_size times: the whole part
-    is given, the fraction rounded. Rounding pairs two fractional documents of a source and moves words
-    from one to the other, at random, until one has none or all of its size; the pair's words stay as they
-    were, and each document's expectation too. Chunks of about ``fan_in`` documents are folded to one
-    fractional document each, those again, up a tree, until each source has one, which is drawn. Documents
-    with more than 1 / ``large`` of their source's words, so fewer than ``large`` a source, come first, each
-    paired with all the rest as one: what they take or leave changes the rest's rate. So a source's taken words
-    differ from its target by less than 1 / ``large`` of its size, if the others can make up for the large ones; for
-    that, one that alone overshoots what is left isn't drawn. Random numbers follow from ``seed`` and the
-    documents, so that reruns agree.
+    is given, the fraction rounded up or down by pivotal(), which keeps expectations and brings each source's
+    words near its target. Random numbers follow from ``seed`` and the documents, so that reruns agree.
 
     Null text: size 0. Null source: a source of its own, last in order. Documents of size 0 get the whole
     part of the copies and take nothing. Null and equal ids: rows that differ in text or source are rounded
-    each on its own; rows equal in id, text and source are rounded together, as one document. Empty table:
-    no rows. Other columns are not read.
+    each on its own; rows equal in id, text and source are rounded together, as one document. Very long texts:
+    a document larger than all others of its source together is drawn by its fraction alone, so the source
+    may miss its target by that much. Empty table: no rows. Other columns are not read.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     rows = docs.select(
@@ -115,38 +149,13 @@ def mix(
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
     )
     rows = rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count(F.lit(1)).alias("n"))
-    rows = keep(rows.withColumn("rid", F.xxhash64("doc_id", "source", "text_key")))
-    goals = keep(source_targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), weights, budget, most))
+    rows = keep(rows.withColumn("rid", F.monotonically_increasing_id()))
+    goals = source_targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), weights, budget, most)
     goals = goals.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))).withColumn("whole", F.floor("rate").cast("long"))
-    mass = (F.col("size") * F.col("n")).cast("double")
-    is_large = mass * large > F.col("source_size")
-    first = null_safe(rows, goals, ["source"]).where(is_large)
-    first = first.groupBy("source", "source_size", (F.col("rate") - F.col("whole")).alias("part")).agg(F.array_sort(F.collect_list(F.struct((-mass).alias("order"), "rid", mass.alias("size")))).alias("items"))
-    room = F.col("source_size").cast("double")
-    first = keep(first.select("source", _settle(F.col("items"), room * F.col("part"), room, seed).alias("state")))
-    rest = first.select("source", F.coalesce(F.try_divide("state.mass", "state.room"), F.lit(0.0)).alias("rest_part"))
-    goals = keep(null_safe(goals, rest, ["source"], "left").withColumn("part", F.coalesce("rest_part", F.col("rate") - F.col("whole"))).drop("rest_part"))
-    with_goal = null_safe(rows, goals, ["source"])
-    chunks = F.ceil(F.col("n_docs") / fan_in)
-    level = with_goal.where(~is_large).select("source", "rid", mass.alias("size"), (mass * F.col("part")).alias("mass"), F.pmod(F.xxhash64(F.lit(seed), "rid"), chunks).alias("chunk"))
-    certain = level.where("mass > 0 and mass >= size").select("rid", F.lit(True).alias("up"))  # the large ones left all to the rest
-    level = level.where("mass > 0 and mass < size")
-    n = goals.agg(F.max("n_docs")).first()[0] or 0
-    n, decided = -(-n // fan_in), [first.select(F.explode("state.done").alias("d")).select("d.rid", "d.up"), certain]
-    while True:
-        # Largest first: later, smaller ones settle it, so that what is left at the end is small.
-        items = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "rid", "size", "mass")))
-        items = F.transform(items, lambda i: F.struct(i["rid"].alias("rid"), i["size"].alias("size"), i["mass"].alias("mass")))
-        done = keep(level.groupBy("source", "chunk").agg(items.alias("items")).select("source", "chunk", _fold(F.col("items"), seed).alias("state")))
-        decided.append(done.select(F.explode("state.done").alias("d")).select("d.rid", "d.up"))
-        left = done.where("state.carry is not null").select("source", "state.carry.*", "chunk")
-        if n <= 1:
-            decided.append(left.select("rid", (_uniform(F.lit(seed), F.col("rid")) * F.col("size") < F.col("mass")).alias("up")))
-            break
-        level, n = left.withColumn("chunk", F.floor(F.col("chunk") / fan_in)), -(-n // fan_in)
-    ups = decided[0]
-    for more in decided[1:]:
-        ups = ups.unionAll(more)
+    goals = keep(goals.select("sid", "source", "source_size", "target", "whole", (F.col("rate") - F.col("whole")).alias("part")))
+    with_goal = keep(null_safe(rows, goals, ["source"]).withColumn("key", F.xxhash64("doc_id", "source", "text_key")))
+    fractional = with_goal.where("size > 0 and part > 0").select("rid", "key", "sid", (F.col("size") * F.col("n")).cast("double").alias("words"))
+    ups = pivotal(fractional, goals.select("sid", "part"), seed, fan_in)
     out = with_goal.join(ups, "rid", "left").withColumn("copies", F.col("whole") + F.coalesce(F.col("up").cast("long"), F.lit(0).cast("long")))
     out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.select("doc_id", "text_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -155,11 +164,10 @@ def mix(
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them; same columns. Needs doc_id, text and source.
 
-    Rows without words stay as they are, once.
+    Rows without words stay as they are, once. Nulls, repeated rows, very long texts and empty tables: see mix().
     """
-    keys = ["__id", "__source", "__text"]
-    said = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__text"), "size", "copies").distinct()
-    said = said.select(*keys, F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).alias("__times")).where("__times > 0")
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = null_safe(own, said, keys)
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*docs.columns)
+    keys = ["id", "source", "text_key"]
+    said = mix(docs, **options).select(F.col("doc_id").alias("id"), "source", "text_key", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("times")).distinct()
+    own = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    joined = null_safe(own, said.where("times > 0"), keys)
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
