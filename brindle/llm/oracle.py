@@ -69,8 +69,9 @@ matches as ({" union all ".join(_matches(i, *b) for i, b in enumerate(BASE))}),
 ended as (select *, sum(length(gap) + length(whole)) over (partition by rid, rank order by nth) as stop from matches),
 spans as (select rid, rank, kind, (stop - length(whole))::bigint as start, stop::bigint as stop, value, (stop - length(value))::bigint as value_start from ended where length(value) >= least),
 held as (
-  select value, count(distinct owner) <= 2 and count(distinct (owner, repo)) <= 20 as few,
-    regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= 8
+  select value, count(distinct owner) <= 2 and (count(distinct owner) = 1 or count(distinct (owner, repo)) <= 20) as few,
+    regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
+    and (len(list_distinct(string_split(value, ''))) >= 8 or 3 * len(list_distinct(string_split(value, ''))) >= 2 * length(value))
     and not regexp_matches(value, '(?i)example|changeme|placeholder|dummy|xxxx|12345678') as generated
   from spans join docs using (rid) group by value),
 live as (select distinct rid, {len(BASE)} as rank, 'live' as kind, value_start as start, stop from spans join held using (value) where few and generated),

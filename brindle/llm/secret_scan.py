@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, null_safe
+from .common import keep, null_safe, whole_row
 
 #: Kinds of the base in the order that breaks ties, their patterns, the group that is the value, and its least length.
 BASE = (
@@ -19,30 +19,12 @@ HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24
 LIVE = "live"
 
 
-def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of {kind, start, end, v_start, value}, in code points. Splitting at the pattern gives the lengths between matches."""
+def _parts(text: Column, rank: int, pattern: str, group: int) -> Column:
+    """Array of {rank, gap, n, value}, one for each match: characters since the last match, its own, and what it holds. Linear in the text."""
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    parts = F.transform(whole, lambda w, i: F.struct(F.length(F.get(gaps, i)).cast("long").alias("gap"), F.length(w).cast("long").alias("n"), F.get(value, i).alias("value")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:long,end:long,v_start:long,value:string>>").alias("spans"))
-
-    def add(state: Column, p: Column) -> Column:
-        begin = state["at"] + p["gap"]
-        end = begin + p["n"]
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), (end - F.length(p["value"])).alias("v_start"), p["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(p["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    return F.aggregate(parts, start, add, lambda s: s["spans"])
-
-
-def base_spans(text: Column) -> Column:
-    """All spans of the base, by start, then kind as listed."""
-    found = F.concat(*[_found(text, *b) for b in BASE])
-    rank = lambda s: F.array_position(F.array(*[F.lit(b[0]) for b in BASE]), s["kind"])
-    order = lambda a, b: (
-        F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise((rank(a) - rank(b)).cast("int"))
-    )
-    return F.array_sort(found, order)
+    each = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
+    each = F.transform(each, lambda x: F.struct(F.lit(rank).alias("rank"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["whole"]).cast("long").alias("n"), x["value"].alias("value")))
+    return F.filter(each, lambda x: x["n"].isNotNull())  # the last gap has no match after it
 
 
 def joined(spans: Column) -> Column:
@@ -50,26 +32,41 @@ def joined(spans: Column) -> Column:
 
 
 def plausible(value: Column) -> Column:
-    """Looks like a generated credential: letters and digits, eight different characters, no placeholder word."""
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
+    """Looks like a generated credential: letters and digits, eight different characters or two thirds of a short one, no placeholder word."""
+    different = F.size(F.array_distinct(F.split(value, "")))
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ((different >= 8) | (3 * different >= 2 * F.length(value)))
     return mixed & ~value.rlike("(?i)example|changeme|placeholder|dummy|xxxx|12345678")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """(rid, doc_id, repo, owner, spans) for each row, spans by base_spans()."""
+    """(rid, doc_id, repo, owner, text_key, parts) for each row, parts of all kinds by _parts()."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"),
         F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"),
     )
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,v_start:bigint,value:string>>")
-    return keep(rows.select("rid", "doc_id", "repo", "owner", F.xxhash64(text).alias("text_key"), F.when(text.rlike(HINT), base_spans(text)).otherwise(none).alias("spans")))
+    parts = F.concat(*[_parts(text, rank, pattern, group) for rank, (_, pattern, group, _) in enumerate(BASE)])
+    none = F.array().cast("array<struct<rank:int,gap:bigint,n:bigint,value:string>>")
+    return keep(rows.select("rid", "doc_id", "repo", "owner", F.xxhash64(text).alias("text_key"), F.when(text.rlike(HINT), parts).otherwise(none).alias("parts")))
+
+
+def base_spans(found: DataFrame) -> DataFrame:
+    """(rid, repo, owner, rank, kind, start, end, v_start, value, value_hash), a row for each span of the base, places in code points.
+
+    A match ends where the gaps and matches of its kind up to it end: a running sum over the document's matches.
+    """
+    each = found.select("rid", "repo", "owner", F.posexplode("parts").alias("nth", "part")).select("rid", "repo", "owner", "nth", "part.*")
+    upto = Window.partitionBy("rid", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto))
+    kind, least = (F.element_at(F.array(*[F.lit(b[i]) for b in BASE]), F.col("rank") + 1) for i in (0, 3))
+    return keep(each.where(F.length("value") >= least).select(
+        "rid", "repo", "owner", "rank", kind.alias("kind"), (F.col("end") - F.col("n")).alias("start"), "end", (F.col("end") - F.length("value")).alias("v_start"), "value", F.sha2("value", 256).alias("value_hash"),
+    ))
 
 
-def ownership(found: DataFrame) -> DataFrame:
+def ownership(spans: DataFrame) -> DataFrame:
     """(value_hash, n_repos, n_owners): distinct repositories and owners that hold a candidate."""
-    each = found.select("owner", "repo", F.explode("spans.value").alias("value"))
-    each = each.select(F.sha2("value", 256).alias("value_hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
+    each = spans.select("value_hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
     by_owner = each.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
@@ -77,52 +74,68 @@ def ownership(found: DataFrame) -> DataFrame:
 def secret_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", most_owners: int = 2, most_repos: int = 20,
 ) -> DataFrame:
-    """(doc_id, text_key, spans, live, n_assign, n_access, n_hex, n_live, n_shared) for each row.
+    """(doc_id, text_key, spans, every, live, n_assign, n_access, n_hex, n_live, n_shared) for each row.
 
     Values of the base patterns are candidates. Their SHA-256 is counted over the corpus by distinct
     repositories, summed to owners: a value that more than ``most_owners`` owners hold, or several owners
     in more than ``most_repos`` repositories, is a widely copied example (n_shared), but never one of a single
     owner; any other that looks generated is live, and gets a further span of kind "live" over the value
-    alone. One span per value and place.
+    alone. One span per value and place. Values of letters alone or of digits alone are never live.
 
     Null text: empty. Null repository or owner: as "". Repeated rows: each is returned. Null ids: as any
-    other. Empty table: no rows. Other columns are not read.
+    other. Very long texts: time grows with their length and their matches. Empty table: no rows. Other
+    columns are not read.
     """
     found = candidates(docs, id_col, text_col, repo_col, owner_col)
-    counts = keep(ownership(found))
-    each = found.select("rid", F.explode("spans").alias("s")).select("rid", F.sha2("s.value", 256).alias("value_hash"), "s.*")
-    each = keep(each)
+    each = base_spans(found)
     few = (F.col("n_owners") <= most_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= most_repos))
-    live = F.when(few & plausible(F.col("value")), F.struct(F.lit(LIVE).alias("kind"), F.col("v_start").alias("start"), F.col("end")))
-    said = each.join(counts, "value_hash").select("rid", live.alias("live"), (~few).cast("long").alias("shared"))
-    said = said.groupBy("rid").agg(F.array_sort(F.collect_set("live")).alias("live"), F.sum("shared").alias("n_shared"))
-    out = found.join(keep(said), "rid", "left")
-    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    out = out.withColumn("live", F.coalesce("live", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")))
-    own = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array_position(F.array(*[F.lit(b[0]) for b in BASE]), s["kind"]).alias("rank")))
-    more = F.transform("live", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(len(BASE) + 1).cast("long").alias("rank")))
-    every = F.array_sort(F.transform(F.concat(own, more), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    live = F.when(few & plausible(F.col("value")), F.struct(F.col("v_start").alias("start"), "end"))
+    span = F.struct("start", "rank", "end", "kind", "v_start", "value")
+    said = each.join(keep(ownership(each)), "value_hash").groupBy("rid").agg(
+        F.array_sort(F.collect_list(span)).alias("base"), F.array_sort(F.collect_set(live)).alias("live"), F.count_if(~few).alias("n_shared")
+    )
+    out = found.drop("parts").join(said, "rid", "left")
+    no_span, no_live = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,v_start:bigint,value:string>>"), F.array().cast("array<struct<start:bigint,end:bigint>>")
+    out = out.withColumns({"base": F.coalesce("base", no_span), "live": F.coalesce("live", no_live)})
+    n = lambda rank, kind: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{kind}")
+    spans = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["v_start"].alias("v_start"), s["value"].alias("value")))
+    placed = lambda s, rank, kind: F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"), kind.alias("kind"))
+    every = F.concat(F.transform("base", lambda s: placed(s, s["rank"], s["kind"])), F.transform("live", lambda s: placed(s, F.lit(len(BASE)), F.lit(LIVE))))
     return out.select(
-        "doc_id", "text_key", "spans", every.alias("every"), "live", *[n(b[0]) for b in BASE],
+        "doc_id", "text_key", spans.alias("spans"), F.array_sort(every).alias("every"), "live", *[n(i, b[0]) for i, b in enumerate(BASE)],
         F.size("live").cast("long").alias("n_live"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
     )
 
 
+def _without(text: Column, cuts: Column, mark: str) -> Column:
+    """The text with each of the cuts {start, end}, in order and apart, replaced by mark. Split to characters once, so linear in the text."""
+
+    def built(chars: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0).cast("long"))
+        piece = lambda a, n: F.array_join(F.slice(chars, (a + 1).cast("int"), n.cast("int")), "")
+        pieces = F.transform(cuts, lambda c, i: F.concat(piece(before(i), c["start"] - before(i)), F.lit(mark)))
+        last = before(F.size(cuts))
+        return F.concat(F.array_join(pieces, ""), piece(last, F.greatest(F.size(chars) - last, F.lit(0).cast("long"))))
+
+    return F.transform(F.array(F.split(text, "")), built)[0]
+
+
 def redact(docs: DataFrame, mark: str = "[REDACTED]", **options) -> DataFrame:
-    """The documents with every live value replaced by ``mark``; same columns, n_chars counted anew. Needs doc_id, text and source."""
-    said = secret_scan(docs, **options).where("n_live > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("live").alias("__live"))
-    said = keep(said.groupBy("__id", "__text").agg(F.max("__live").alias("__live")))
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    out = null_safe(own, said, ["__id", "__text"], "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
-
-    def cut(state: Column, s: Column) -> Column:
-        # Spans of several kinds may overlap; what is done already stays done.
-        gap = F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        more = F.when(s["start"] >= state["at"], F.concat(state["done"], gap, F.lit(mark))).otherwise(state["done"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("done"))
-
-    rest = lambda s: F.concat(s["done"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")))
-    out = out.withColumn("text", F.when(F.col("__live").isNull(), F.col("text")).otherwise(F.aggregate("__live", start, cut, rest)))
-    out = out.select(*docs.columns)
+    """The documents with every live value replaced by ``mark``; same columns, n_chars counted anew. Needs doc_id, text and source.
+
+    Live values that overlap get one mark. Nulls, repeated rows, very long texts and empty tables: see secret_scan().
+    """
+    keys = ["id", "text_key"]
+    said = secret_scan(docs, **options).where("n_live > 0").select(F.col("doc_id").alias("id"), "text_key", "live")
+    each = said.groupBy(*keys).agg(F.max("live").alias("live")).select(*keys, F.explode("live").alias("s")).select(*keys, "s.*")
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    earlier = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("new", (F.col("start") >= F.coalesce(earlier, F.lit(0))).cast("int"))
+    each = each.withColumn("nth", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = each.groupBy(*keys, "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = keep(cuts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")))
+    own = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    out = null_safe(own, cuts, keys, "left")
+    row = F.when(F.col("cuts").isNull(), F.col("row")).otherwise(F.col("row").withField("text", _without(F.col("row.text"), F.col("cuts"), mark)))
+    out = out.select(row.alias("row")).select("row.*")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

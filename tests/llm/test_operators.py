@@ -124,6 +124,23 @@ def test_secret_scan(docs, rows, empty):
     assert secret_scan.secret_scan(empty).count() == 0 and secret_scan.redact(empty).count() == 0
 
 
+def test_secrets_in_long_texts(spark):
+    """A hundred thousand matches in one text; overlapping live spans; characters beyond 16 bits."""
+    long = "".join(f"token=abc{i}x " for i in range(100_000))
+    odd = "\U0001f600 token = 'Zx81bQwerty77aa' é secret=token=Ab3Cd4Ef5Gh6 0123456789abcdefABC0123456789abcdef01234567"
+    rows = [(1, long, "a"), (2, odd, "a"), (2, odd, "a"), (3, None, None)]
+    docs = spark.createDataFrame([(*r, "x", [1]) for r in rows], "doc_id long, text string, source string, row string, cuts array<int>")
+    want = {d: (s, live) for d, s, live in brute.secrets(rows)}
+    found = secret_scan.secret_scan(docs).select("doc_id", "n_assign", "live").collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 2, 3]
+    for r in found:
+        assert [(s["start"], s["end"]) for s in r["live"]] == want[r["doc_id"]][1]
+        assert r["n_assign"] == sum(s[3] == "assign" for s in want[r["doc_id"]][0])
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns
+    assert {(r["doc_id"], r["text"], r["row"]) for r in clean.collect()} == {(d, t and brute.redacted(t, want[d][1]), "x") for d, t, _ in rows}
+
+
 def test_mix(docs, rows, empty):
     found = mixing.mix(docs, fan_in=4)
     got = found.select("doc_id", "source", "size", "source_size", "target", "copies", "taken").collect()
@@ -144,24 +161,48 @@ def test_mix(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
 
 
-@pytest.mark.parametrize("large", [1, 4, 128])
-def test_mix_with_large_documents(spark, large):
-    lengths = {"a": [3000] + [40] * 100, "b": [500] * 10 + [10] * 400, "c": [200] * 50}
-    data = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, every in lengths.items() for n in every)]
-    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(1.0,), fan_in=8, large=large).collect()
-    goal, taken = brute.targets({s: sum(x) for s, x in lengths.items()}, (1,)), Counter()
-    for r in got:
-        assert r["copies"] in brute.allowed_copies(r["target"], r["source_size"])
+def test_all_fractional_documents_are_paired(spark):
+    """On whole documents: each fractional one is decided once, most of them in pairs, and targets are met."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = mixing.mix(docs).collect()
+    sizes, taken, goal = Counter(), Counter(), {}
+    for r in found:
+        sizes[r["source"]] += r["size"]
         taken[r["source"]] += r["taken"]
-    near = {s: max(lengths[s]) if large == 1 else sum(lengths[s]) / large for s in lengths}
-    assert len(got) == len(data) and all(abs(taken[s] - goal[s]) <= near[s] for s in goal)
-
-
-def test_mix_where_the_rest_takes_all(spark):
-    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate([3000] + [40] * 100)], "doc_id long, text string, source string")
-    for seed in (1, 2, 3):
-        found = mixing.mix(docs, budget=11 / 7, seed=seed, large=4)
-        assert abs(found.agg(F.sum("taken")).first()[0] - 11000) <= 40
+        goal[r["source"]] = r["target"]
+    assert goal == pytest.approx(brute.targets(sizes))
+    assert all(abs(taken[s] - goal[s]) < 0.03 * goal[s] for s in goal)
+    items = spark.createDataFrame([(i, i * 7, 1 if r["source"] < "src5" else 2, float(r["size"])) for i, r in enumerate(found) if r["size"]], "rid long, key long, sid int, words double")
+    parts = spark.createDataFrame([(1, 0.3), (2, 0.85)], "sid int, part double")
+    for fan_in in (4, 256):
+        ups = mixing.pivotal(items, parts, fan_in=fan_in)
+        assert sorted(r["rid"] for r in ups.collect()) == sorted(r["rid"] for r in items.collect())
+        took = {r["sid"]: r["rate"] for r in items.join(ups, "rid").groupBy("sid").agg((F.sum(F.when(F.col("up"), F.col("words")).otherwise(0)) / F.sum("words")).alias("rate")).collect()}
+        assert took == pytest.approx({1: 0.3, 2: 0.85}, abs=0.003)
+
+
+@pytest.mark.parametrize("sizes, part", [([600, 100, 100, 100, 100], 0.5), ([3000] + [40] * 30, 0.25), ([500, 400, 20, 20, 20, 3], 0.7), ([50] * 9, 0.4)])
+def test_mix_keeps_expectations(spark, sizes, part):
+    """Two thousand sources of the same sizes: each document is rounded up as often as its fraction says."""
+    times = 2000
+    items = spark.range(times).select((F.col("id") + 1).cast("int").alias("sid"), F.posexplode(F.array(*[F.lit(float(n)) for n in sizes])).alias("at", "words"))
+    items = items.withColumn("rid", F.col("sid") * 1000 + F.col("at")).withColumn("key", F.xxhash64("rid")).drop("at")
+    parts = items.select("sid", F.lit(part).alias("part")).distinct()
+    ups = {r["at"]: r["n"] for r in mixing.pivotal(items.select("rid", "key", "sid", "words"), parts, fan_in=4).groupBy((F.col("rid") % 1000).alias("at")).agg(F.count_if("up").alias("n")).collect()}
+    assert len(ups) == len(sizes)
+    assert all(abs(n - times * part) < 5 * (times * part * (1 - part)) ** 0.5 for n in ups.values())
+
+
+def test_mix_of_repeated_rows(spark):
+    rows = [(1, "a b c", "x")] * 3 + [(1, "a b", "x"), (None, "a b", None), (None, None, None)] + [(9, "w " * 50, "y")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).select("doc_id", "size", "copies", "source").collect()
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((d, len(brute.words(t))) for d, t, _ in rows)
+    assert all(len({r["copies"] for r in found if (r["doc_id"], r["size"]) == k}) == 1 for k in {(r["doc_id"], r["size"]) for r in found})
+    want = Counter()
+    for r in found:
+        want[r["doc_id"], r["size"]] += r["copies"] if r["size"] else 1
+    assert Counter((r["doc_id"], len(brute.words(r["text"]))) for r in mixing.apply_mix(docs).collect()) == +want
 
 
 def test_embedding_links(spark):
