@@ -38,10 +38,10 @@ def band_keys(found: np.ndarray, turns: np.ndarray) -> list[int]:
     if not len(found):
         return []
     least = np.full(turns.shape[1], np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), 4096):
-        part = found[at : at + 4096]
-        for i in range(turns.shape[1]):
-            least[i] = min(least[i], ((part ^ turns[0, i]) * turns[1, i]).min())
+    for at in range(0, len(found), 512):
+        mixed = found[at : at + 512] ^ turns[0][:, None]
+        mixed *= turns[1][:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
     return [signed(xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b)) for b in range(BANDS)]
 
 
@@ -141,28 +141,13 @@ def similar_links(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row for each group of near copies: the one whose doc_id is the smallest. Same columns.
+    """One row for each group of near copies, that with the smallest doc_id, a null one last. Same columns. Needs doc_id and text.
 
     Texts link that are similar (see similar_links) or whose SimHash fingerprints link (see simhash_groups).
-    Rows without an id stay. Repeated rows: rows of one id and one text (null as empty) stay once. Different
-    texts under one id each stay where the id is the smallest of their group.
+    Null texts: as empty, copies of each other. Repeated rows, and several texts of a group under one id: one
+    stays. Very long texts: whole. Empty table: no rows. Other columns are carried.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = docs.where("doc_id is not null").select(key.alias("node"), "text")
+    texts = docs.select(simhash.text_key().alias("node"), "text")
     prints = keep(simhash.fingerprints(texts, "node"))
     alike = prints.join(simhash.simhash_groups(prints), "fp").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    roots = keep(components(keep(alike.unionAll(similar_links(texts)))))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), key.alias("node"))
-    rows = keep(rows.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")))
-    stay = rows.join(rows.groupBy("root").agg(F.min("id").alias("low")), "root").where("id = low")
-    stay = keep(stay.groupBy("id", "node").agg(F.count(F.lit(1)).alias("many")))
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__node": key})
-    named = stay.select(F.col("id").alias("__id"), F.col("node").alias("__node"), "many")
-    once = own.join(named.where("many = 1"), ["__id", "__node"], "left_semi").select(*docs.columns)
-    once = once.unionAll(docs.where("doc_id is null"))
-    twice = named.where("many > 1")
-    if twice.isEmpty():
-        return once
-    row = F.struct(*docs.columns)
-    more = own.join(twice, ["__id", "__node"], "left_semi").groupBy("__id", "__node")
-    return once.unionAll(more.agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
+    return simhash.stay_one(docs, keep(components(keep(alike.unionAll(similar_links(texts))))))

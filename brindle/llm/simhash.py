@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, null_safe, ship, signed, sliced
+from .common import components, keep, null_safe, ship, signed, sliced, whole_row
 
-#: Most fingerprints that one task compares in one go; larger groups are cut into blocks.
+#: Most fingerprints that one task compares in one go; larger groups are split, then cut into blocks.
 BLOCK = 512
 MAX_BITS = 3
 
@@ -45,85 +45,112 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _close(batches):
-    """For each cell of members (fp, node): links from each node to the smallest node of its group in the cell."""
+    """For each cell of fingerprints: links from each one to the smallest of its group in the cell."""
     for batch in sliced(batches):
         a, b = [], []
         for cell in batch.column(0).to_pylist():
-            fps = np.array([m["fp"] for m in cell], dtype=np.int64).view(np.uint64)
-            nodes = np.array([m["node"] for m in cell], dtype=np.int64)
-            todo = np.argsort(nodes, kind="stable")
+            signed_fps = np.sort(np.array(cell, dtype=np.int64))
+            fps, todo = signed_fps.view(np.uint64), np.arange(len(cell))
             while len(todo):
-                root, front, todo = nodes[todo[0]], todo[:1], todo[1:]
+                root, front, todo = signed_fps[todo[0]], todo[:1], todo[1:]
                 while len(front) and len(todo):
                     near = np.zeros(len(todo), dtype=bool)
                     for f in front:
                         near |= np.bitwise_count(fps[todo] ^ fps[f]) <= MAX_BITS
                     front, todo = todo[near], todo[~near]
-                    a += nodes[front].tolist()
+                    a += signed_fps[front].tolist()
                     b += [int(root)] * len(front)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _wildcards(bits: Column, width: int, first: int) -> list[Column]:
+    """The variants of a segment of so many bits with one bit cleared each, numbered above the bits."""
+    return [bits.bitwiseAND(F.lit((1 << width) - 1 - (1 << i)).cast("long")).bitwiseOR(F.lit((first + i) << width).cast("long")) for i in range(width)]
+
+
+def _cells(member: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """(fps): the members (keys, n, fp) of each key, in blocks that are put together two by two where n is above ``block``."""
+    member = member.withColumn("blocks", F.when(F.col("n") <= block, 1).otherwise(F.ceil(2 * F.col("n") / block)).cast("int"))
+    member = member.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = member.groupBy(*keys, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return cell.agg(F.array_sort(F.collect_list("fp")).alias("fps")).where("size(fps) > 1").select("fps")
+
+
 def simhash_groups(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """Class of each fingerprint: (fp, component_id), component_id the smallest doc_id reachable by links.
 
     prints: (doc_id, fp). Fingerprints link when they differ in at most three bits. Cut in two
     segments, one of them differs in at most one bit, so both have a one-wildcard variant of that
-    segment in common: each distinct fingerprint is put under its 64 variants. Of a variant met twice, the
-    XOR of its two fingerprints tells if they link; variants met more often are joined back, and their
-    members compared bit by bit inside tasks. A variant with more
-    than ``block`` members is cut into blocks, compared block with block, so that no task holds more;
-    tasks return links to the smallest document of each group found, never all pairs.
-
-    Copies count once. A null doc_id is never the smallest; a fingerprint that only rows with a null
-    doc_id have links with nothing and has a null component_id.
+    segment in common: each distinct fingerprint is put under its 64 variants. Of a variant met twice its
+    smallest and largest fingerprint are the two that may link; variants met more often are joined back, and
+    their members compared bit by bit inside tasks. A variant with more than ``block`` members is
+    split first by the same rule: at most three bits differ in the other segment, so in one of its halves of 16
+    bits at most one, and members go under the 32 variants of these. So split, members have 46 bits in common:
+    what is left of a hot variant has at most 2^18 fingerprints whatever the input, and is compared in
+    blocks. Tasks return links to the smallest fingerprint of each group found, never all pairs.
+
+    Copies count once. A null doc_id links like any other and is never the smallest; where all in reach are
+    null, component_id is null.
     """
     ship(prints.sparkSession)
-    one = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    one = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-
-    def variants(segment, first):
-        return [segment.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).bitwiseOR(F.lit((first + i) << 32)) for i in range(32)]
-
-    put = one.where("node is not null").select("fp", "node", F.explode(F.array(*variants(low, 0), *variants(high, 32))).alias("variant"))
-    met = put.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"), F.max("node").alias("a"), F.expr("bit_xor(fp)").alias("x"))
-    met = keep(met.where("n > 1"))
-    twos = met.where(F.col("n") == 2).where(F.bit_count("x") <= MAX_BITS).select("a", "b")
+    put = one.select("fp", F.explode(F.array(*_wildcards(low, 32, 0), *_wildcards(high, 32, 32))).alias("variant"))
+    met = keep(put.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where("n > 1"))
+    twos = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
     more = keep(met.where("n > 2").select("variant", "n"))  # few: with its true size known, Spark can spare the variants a second shuffle
-    member = put.join(more, "variant").withColumn("blocks", F.ceil(2 * F.col("n") / block).cast("int"))
-    member = member.withColumn("blocks", F.when(F.col("n") <= block, 1).otherwise(F.col("blocks")))
-    member = member.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = member.groupBy("variant", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    cells = cell.agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("members")).where("size(members) > 1").select("members").distinct()
-    links = keep(cells.mapInArrow(_close, "a long, b long").unionAll(twos).distinct())
-    found = components(links).withColumnRenamed("root", "__root")
-    return one.join(found, "node", "left").select("fp", F.coalesce("__root", "node").alias("component_id"))
+    member = put.join(more, "variant")
+    cells = _cells(member.where(F.col("n") <= block), ["variant"], block)
+    if not more.where(F.col("n") > block).isEmpty():
+        other = F.when(F.shiftrightunsigned("variant", 32) < 32, high).otherwise(low)
+        halves = [*_wildcards(other.bitwiseAND(F.lit(0xFFFF)), 16, 0), *_wildcards(F.shiftrightunsigned(other, 16), 16, 16)]
+        split = keep(member.where(F.col("n") > block).select("variant", "fp", F.explode(F.array(*halves)).alias("part")))
+        parts = split.groupBy("variant", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        cells = cells.unionAll(_cells(split.join(parts, ["variant", "part"]), ["variant", "part"], block))
+    links = keep(cells.distinct().mapInArrow(_close, "a long, b long").unionAll(twos).distinct())
+    found = one.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    found = keep(found)
+    return found.select("fp", "root").join(found.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows: each is
-    returned. Null doc_id: see simhash_groups. Empty table: no rows. Other columns are not read.
+    returned. Null doc_id: see simhash_groups. Very long texts: hashed whole, in parts of 8192 shingles.
+    Empty table: no rows. Other columns are not read.
     """
     prints = keep(fingerprints(docs, id_col, text_col))
     groups = keep(simhash_groups(prints, block))
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row for each group: the one whose doc_id is the smallest; rows without an id stay. Same columns.
+def text_key() -> Column:
+    """What tells the texts of ``documents`` apart; null as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
 
-    Repeated rows: rows of one id and one text (null as empty) stay once. Different texts under one id each
-    stay where the id is the smallest of its group.
+def stay_one(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of each group: that with the smallest doc_id, a null one last, and of its texts one. Same columns.
+
+    roots: (node, root) by text_key(); texts that are not in it are groups of their own. Repeated rows stay once.
     """
-    said = simhash_dedup(docs).where("doc_id = component_id or doc_id is null")
-    said = keep(said.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    twice = said.where("n > 1 and doc_id is not null").select("doc_id")
-    once = null_safe(docs, said.where("n = 1 or doc_id is null").select("doc_id"), ["doc_id"], "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("node"))
+    rows = rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("many"))
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = keep(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node", "many")).alias("s")).select("s.id", "s.node", "s.many"))
+    own = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("node"))
+    once = null_safe(own, stay.where("many = 1").select("id", "node"), ["id", "node"], "left_semi").select("row.*")
+    twice = stay.where("many > 1").select("id", "node")
     if twice.isEmpty():
         return once
-    row = F.struct(*docs.columns)
-    more = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return once.unionAll(more.agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
+    more = null_safe(own, twice, ["id", "node"], "left_semi").groupBy("id", "node").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionAll(more.select("row.*"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row for each group of linked fingerprints, see stay_one(). Same columns. Nulls, long texts, empty tables: see simhash_dedup()."""
+    prints = keep(fingerprints(docs.select(text_key().alias("node"), "text"), "node"))
+    roots = prints.join(simhash_groups(prints), "fp").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    return stay_one(docs, keep(roots))

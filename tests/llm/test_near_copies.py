@@ -46,7 +46,7 @@ def test_near_dedup(spark):
     want = classes(rows)
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
     assert sum(c != d for d, c in want.items()) > sum(c[1] != d for d, c in brute.simhash_classes(rows).items())
-    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {None, *want.values()}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == set(want.values())
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
 
 
@@ -65,7 +65,7 @@ def test_repeated_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (1, None), (1, ""), (2, "a b c d"), (3, "w x y z"), (5, "w x y z"), (5, "another text"), (None, "q"), (None, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"] or "") for r in near_copies.one_of_each(docs).collect()), key=repr)
-    assert got == sorted([(1, "a b c d"), (1, ""), (3, "w x y z"), (5, "another text"), (None, "q"), (None, "q")], key=repr)
+    assert got == sorted([(1, "a b c d"), (1, ""), (3, "w x y z"), (5, "another text"), (None, "q")], key=repr)
 
 
 def test_first_stages(spark):

@@ -223,19 +223,38 @@ def test_embedding_links(spark):
 
 
 def test_simhash(docs, rows, empty):
-    want = brute.simhash_classes([r[:2] for r in rows if r[0] is not None])
+    want = brute.simhash_classes([r[:2] for r in rows])  # the row without an id is the last, alone
     for block in (2, 512):
-        got = by_id(simhash.simhash_dedup(docs, block=block), "fingerprint", "component_id")
-        assert got.pop(None)[1] is None and got == want
-    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {None, *(c for _, c in want.values())}
+        assert by_id(simhash.simhash_dedup(docs, block=block), "fingerprint", "component_id") == want
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {c for _, c in want.values()}
     assert simhash.simhash_dedup(empty).count() == 0
 
 
 def test_one_of_each_with_repeated_rows(spark):
-    rows = [(1, "a b c d"), (1, "a b c d"), (1, None), (1, ""), (2, "a b c d"), (3, "w x y z"), (None, "q"), (None, "q")]
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, None), (1, ""), (2, "a b c d"), (3, "w x y z"), (None, "q"), (None, "q"), (None, "W x y z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"] or "") for r in simhash.one_of_each(docs).collect()), key=repr)
-    assert got == sorted([(1, "a b c d"), (1, ""), (3, "w x y z"), (None, "q"), (None, "q")], key=repr)
+    assert got == sorted([(1, "a b c d"), (1, ""), (3, "w x y z"), (None, "q")], key=repr)
+
+
+def test_simhash_links_through_rows_without_an_id(spark):
+    fps = [(5, 0), (None, 0b111), (2, 0b111111), (None, 1 << 40), (None, 1 << 41 | 1 << 40)]
+    got = simhash.simhash_groups(spark.createDataFrame(fps, "doc_id long, fp long")).collect()
+    assert {r["fp"]: r["component_id"] for r in got} == {0: 2, 0b111: 2, 0b111111: 2, 1 << 40: 2, 1 << 41 | 1 << 40: 2}
+    alone = simhash.simhash_groups(spark.createDataFrame(fps[3:], "doc_id long, fp long")).collect()
+    assert {r["component_id"] for r in alone} == {None}
+
+
+def test_hot_variants(spark):
+    """Many fingerprints with one half in common, so under the same variants: split, then compared in blocks."""
+    rng = random.Random(8)
+    fps = list({(rng.getrandbits(32) & rng.getrandbits(32) & rng.getrandbits(32) & rng.getrandbits(32)) << 32 | 77 for _ in range(1500)})
+    want = brute.components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    for block in (20, 400):
+        got = df.join(simhash.simhash_groups(df, block), "fp").collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+    assert len(set(want)) > 1
 
 
 def test_simhash_links_at_three_bits(spark):

@@ -2,6 +2,7 @@
 
 import brute
 import corpus_pipeline
+from test_near_copies import classes
 from test_operators import check_packed
 
 SF = "/root/testdata/sf0.001"
@@ -12,8 +13,8 @@ def test_stages(spark):
     rows = sorted((tuple(r) for r in docs.collect()), key=lambda r: r[0])
     facts = brute.quality([(r[1], r[3]) for r in rows])
     rows = [(r[0], f[7], *r[2:4], len(f[7])) for r, f in zip(rows, facts) if f[6]]
-    classes = brute.simhash_classes([r[:2] for r in rows])
-    rows = [r for r in rows if classes[r[0]][1] == r[0]]
+    near = classes([r[:2] for r in rows])
+    rows = [r for r in rows if near[r[0]] == r[0]]
     live = {d: x for d, _, x in brute.secrets([(r[0], r[1], r[3]) for r in rows])}
     rows = [(r[0], t := brute.redacted(r[1], live[r[0]]), *r[2:4], len(t)) for r in rows]
     out = docs
