@@ -222,6 +222,26 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+def test_embedding_rows_without_an_id(spark):
+    a, b, far = [1.0, 0.0], [1.0, 0.1], [1.0, 0.38]
+    rows = [(None, a, 1), (None, a, 1), (7, b, 1), (4, far, 1), (None, [0.0, 1.0], 1), (None, [0.0, 1.0], 1), (3, a, None), (7, b, 1)]
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(None, 4, 4, False)] * 2 + [(7, 4, 4, False)] * 2 + [(4, 4, 4, True)] + [(None, 1, None, False)] * 2 + [(3, 0, 3, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_dense_tiles_in_bounded_memory():
+    """Two tiles of near vectors, all pairs close: more pairs than may be gathered at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=768) + rng.normal(size=(1024, 768)) * 0.05
+    tracemalloc.start()
+    n = sum(len(i) for i, _ in embedding_dedup.close_pairs(x, x + 0.001, np.eye(768), 0.93, False))
+    assert n == 1024 * 1024 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_simhash(docs, rows, empty):
     want = brute.simhash_classes([r[:2] for r in rows])  # the row without an id is the last, alone
     for block in (2, 512):
