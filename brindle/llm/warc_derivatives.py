@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+import gzip
+import os
+import uuid
+from html.entities import name2codepoint
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What plain text drops, what ends a line in it, and the entities it decodes; in this order.
-DROPPED = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>")
-BREAKS = r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|main|aside|pre|blockquote|hr)\b[^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
-DATE = "2024-01-01T00:00:00Z"
+from .common import ship
+
+#: What plain text drops whole: comments, scripts, styles and the head; what is not closed goes on to the end of the page.
+DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<head\b.*?(?:</head\s*>|<body\b[^<>]*>|\z)"
+#: Tags that end a line, then all other tags; a < before anything but a letter, a slash, ! or ? is text.
+BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|main|aside|pre|blockquote|hr)\b[^<>]*>"
+TAGS = r"<[A-Za-z/!?][^<>]*>"
+#: Date of responses that have none, in RFC 3339 as WARC wants it.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def decoded(text: Column) -> Column:
+    """Character references become characters: decimal, hexadecimal and the names of HTML 4 (and apos), all ended by a semicolon; others stay."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted((name2codepoint | {"apos": 39}).items()) for x in (name, chr(code))])
+
+    def one(part: Column, i: Column) -> Column:
+        name = F.substring_index(part, ";", 1)
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        digits = F.when(name.rlike("^#[0-9]{1,7}$"), F.conv(F.substring(name, F.lit(2), F.lit(7)), 10, 16)).when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.substring(name, F.lit(3), F.lit(6)))
+        number = F.conv(digits, 16, 10).cast("int")
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        found = F.coalesce(char, F.when(name.rlike("^[A-Za-z][A-Za-z0-9]{1,9}$"), F.try_element_at(names, name)))
+        return F.when((i > 0) & part.contains(";") & found.isNotNull(), F.concat(found, rest)).otherwise(F.when(i > 0, F.concat(F.lit("&"), part)).otherwise(part))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), one), "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
-    """Text of a page: comments, scripts, styles and head go, block tags end lines, entities are decoded, white space is joined."""
-    text = html
-    for pattern in DROPPED:
-        text = F.regexp_replace(text, pattern, "")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^>]*>", "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
+    """Text of a page: comments, scripts, styles and head go, block tags end lines, references are decoded, white space is joined.
+
+    Each pattern passes once over the page, however many tags are left open.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, ""), BREAKS, "\n"), TAGS, "")
+    text = F.regexp_replace(F.regexp_replace(decoded(text), "[ \u00a0\t\r\f]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
@@ -38,16 +63,22 @@ def derivatives(responses: DataFrame, id_col: str = "page_id", uri_col: str = "u
     refers_to_date, source_digest (of the response's payload), source_headers (its HTTP headers, kept),
     content_type, block_digest, content_length (bytes of block), block.
 
-    Record ids follow from uri, date and payload digest. Null or empty body: a conversion with an empty block.
-    Null uri: target_uri is null, named as an empty one in ids. Null headers: a status line alone. Repeated
-    rows give repeated records. Empty table: no rows. Other columns are not read.
+    Dates (text in RFC 3339, or a timestamp) and HTTP headers are the table's where it has such columns; without
+    them, DATE and no headers, as nothing is known. Record ids follow from page_id, uri, date and payload digest,
+    so that reruns agree and captures differ. Repeated rows: the same capture met again, the same records again.
+    Null or empty body: a conversion with an empty block. Null uri: target_uri is null, named as an empty one in
+    ids. Null headers: none. Very long bodies: whole. Empty table: no rows. Other columns are not read.
     """
-    date = F.lit(DATE) if date_col is None else F.coalesce(F.col(date_col).cast("string"), F.lit(DATE))
-    head = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html") if headers_col is None else F.coalesce(F.col(headers_col), F.lit("HTTP/1.1 200 OK"))
+    date = F.lit(DATE)
+    if date_col is not None:
+        timed = responses.schema[date_col].dataType.typeName().startswith("timestamp")
+        said = F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if timed else F.col(date_col).cast("string")
+        date = F.coalesce(said, F.lit(DATE))
+    head = F.lit("") if headers_col is None else F.coalesce(F.col(headers_col), F.lit(""))
     rows = responses.select(F.col(id_col).alias("page_id"), F.col(uri_col).alias("target_uri"), date.alias("warc_date"), head.alias("source_headers"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
     rows = rows.withColumn("source_digest", F.concat(F.lit("sha256:"), F.sha2("body", 256))).withColumn("text", plain_text(F.col("body")))
     uri = F.coalesce("target_uri", F.lit(""))
-    rows = rows.withColumn("refers_to", record_uuid("response", uri, F.col("warc_date"), F.col("source_digest")))
+    rows = rows.withColumn("refers_to", record_uuid("response", F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri, F.col("warc_date"), F.col("source_digest")))
     fields = F.concat(
         F.lit("sourceDigest: "), F.col("source_digest"), F.lit("\r\nsourceLength: "), F.octet_length("body").cast("string"),
         F.lit("\r\ntextLength: "), F.octet_length("text").cast("string"), F.lit("\r\ntitle: "),
@@ -73,11 +104,50 @@ def record_text(warc_type: str = "warc_type") -> Column:
         ("WARC-Type", warc_type), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To-Target-URI", "target_uri"),
         ("WARC-Date", "warc_date"), ("WARC-Refers-To-Date", "refers_to_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"),
     )
-    kept = F.transform(F.split("source_headers", "\r?\n"), lambda h: F.concat(F.lit("WARC-Source-Header: "), h, F.lit("\r\n")))
+    kept = F.transform(F.filter(F.split("source_headers", "\r?\n"), lambda h: h != ""), lambda h: F.concat(F.lit("WARC-Source-Header: "), h, F.lit("\r\n")))
     more = (("Content-Type", "content_type"), ("Content-Length", "content_length"))
     return F.concat(F.lit("WARC/1.1\r\n"), *[line(*x) for x in named], F.array_join(kept, ""), *[line(*x) for x in more], F.lit("\r\n"), F.col("block"))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write the records of derivatives() as gzipped WARC files; a file for each partition."""
-    records.select(record_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def warcinfo(name: str) -> bytes:
+    """The record that a WARC file begins with."""
+    block = b"software: brindle\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {DATE}\r\nWARC-Filename: {name}\r\n"
+    return f"{head}Content-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block
+
+
+def write_warc(records: DataFrame, path: str) -> DataFrame:
+    """Write the records of derivatives() as WARC files in a folder, one for each partition, and return their index: (file, offset, length, record_id).
+
+    Each record is a gzip member of its own, so that it can be read alone by its place; each file begins with a
+    warcinfo record. Executors write through Arrow's file systems (a mounted folder, HDFS, S3, GCS), to a name of
+    the attempt, so that a task run twice leaves no half file under a name that the index has. The index is
+    written beside the files, as Parquet, when all of them are there.
+    """
+    spark = records.sparkSession
+    ship(spark)
+    where = path if "://" in path else "file://" + os.path.abspath(path)
+
+    def work(batches):
+        from pyarrow.fs import FileSystem
+
+        fs, folder = FileSystem.from_uri(where)
+        fs.create_dir(folder, recursive=True)
+        name, at, rows, out = f"part-{uuid.uuid4().hex}.warc.gz", 0, [], None
+        for batch in batches:
+            for record_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None:
+                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)
+                    first = gzip.compress(warcinfo(name) + b"\r\n\r\n", mtime=0)
+                    at += out.write(first)
+                member = gzip.compress(text.encode() + b"\r\n\r\n", mtime=0)
+                rows.append((name, at, len(member), record_id))
+                at += out.write(member)
+        if out is not None:
+            out.close()
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3])], ["file", "offset", "length", "record_id"])
+
+    index = records.select("record_id", record_text().alias("text")).mapInArrow(work, "file string, offset long, length long, record_id string")
+    index.write.parquet(f"{where}/index.parquet")
+    return spark.read.parquet(f"{where}/index.parquet")

@@ -1,7 +1,8 @@
 """Each operator against its brute-force version, on small tables with nulls, ties, repeats and odd texts."""
 
+import datetime
+import gzip
 import random
-import re
 from collections import Counter, defaultdict
 
 import brute
@@ -85,30 +86,51 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
 
 
 def test_warc(spark, tmp_path):
-    html = "<html><head><title> A\nb </title></head><body><!-- x --><script>1<2</script><p>One &amp; two</p><p>three<br>four &lt;</p></body></html>"
-    pages = spark.createDataFrame([(1, "http://a/", html, "HTTP/1.1 200 OK\r\nServer: x"), (2, None, None, None), (1, "http://a/", html, "HTTP/1.1 200 OK\r\nServer: x")], "page_id long, url string, html string, head string")
-    made = warc_derivatives.derivatives(pages, headers_col="head")
+    page = "<html><head><title> A\nb </title></head><body><!-- x --><script>1<2</script><p>One &amp; two</p><p>three<br>four &lt;</p></body></html>"
+    when = datetime.datetime(2023, 5, 6, 7, 8, 9)
+    rows = [(1, "http://a/", page, "HTTP/1.1 200 OK\r\nServer: x\r\n", when, 7), (2, None, None, None, None, 7), (1, "http://a/", page, "HTTP/1.1 200 OK\r\nServer: x\r\n", when, 7), (3, "http://a/", page, "", when, 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, head string, at timestamp_ntz, body int")
+    made = warc_derivatives.derivatives(pages, headers_col="head", date_col="at")
     found = made.collect()
-    assert len(found) == 6
+    assert len(found) == 8
     assert {r["block"] for r in found if r["warc_type"] == "conversion"} == {"One & two\nthree\nfour <", ""}
-    for one in (1, 2):
-        assert len({r["refers_to"] for r in found if r["page_id"] == one}) == 1
+    assert len({r["refers_to"] for r in found}) == 3 and len({r["record_id"] for r in found}) == 6  # captures of one page under two ids differ
+    assert {r["warc_date"] for r in found if r["page_id"] == 1} == {"2023-05-06T07:08:09Z"}
     assert all(r["content_length"] == len(r["block"].encode()) for r in found)
-    warc_derivatives.write_warc(made, str(tmp_path / "w"))
-    import gzip
-
-    raw = b"".join(gzip.open(p).read() for p in sorted((tmp_path / "w").glob("*.gz")))
-    n = 0
-    while raw:  # an exact read back by Content-Length
-        head, _, raw = raw.partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\n") and b"WARC-Refers-To: <urn:uuid:" in head
-        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
-        assert raw[size : size + 4] == b"\r\n\r\n"
-        raw, n = raw[size + 4 :], n + 1
-    assert n == 6
+    index = warc_derivatives.write_warc(made.repartition(2), str(tmp_path / "w")).collect()
+    files = {p.name: p.read_bytes() for p in (tmp_path / "w").glob("*.warc.gz")}
+    assert len(files) == 2 and all(gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") for raw in files.values())
+    back = Counter()
+    for r in index:  # each record is read alone, at its place
+        head, _, rest = gzip.decompress(files[r["file"]][r["offset"] : r["offset"] + r["length"]]).partition(b"\r\n\r\n")
+        fields = [x.split(": ", 1) for x in head.decode().split("\r\n")[1:]]
+        said = dict(fields)
+        assert rest.endswith(b"\r\n\r\n") and len(rest) - 4 == int(said["Content-Length"]) and said["WARC-Record-ID"] == r["record_id"]
+        back[said["WARC-Record-ID"], said["WARC-Refers-To"], said["WARC-Date"], tuple(v for k, v in fields if k == "WARC-Source-Header"), rest[:-4].decode()] += 1
+    kept = lambda r: tuple(x for x in r["source_headers"].split("\r\n") if x)
+    assert back == Counter((r["record_id"], r["refers_to"], r["warc_date"], kept(r), r["block"]) for r in found)
+    assert {kept(r) for r in found if r["page_id"] == 1} == {("HTTP/1.1 200 OK", "Server: x")}
     assert warc_derivatives.derivatives(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("if a < b and c > d then", "if a < b and c > d then"),
+        ("it&#8217;s &#x27;x&#X27; &eacute;&euro;&nbsp;&amp;lt; &copy &nope; &#0; &#55296; &#1114112; & x; &#128512;", "it\u2019s 'x' \u00e9\u20ac &lt; &copy &nope; &#0; &#55296; &#1114112; & x; \U0001f600"),
+        ("<p>a<script>x<!-- y</script><p>b<!-- c", "a\nb"),
+        ("<head><title>t</title><body class=a>b</body>", "b"),
+        ("<header>h</header><a href='x'>y</a><!DOCTYPE z>1 <2", "h\ny1 <2"),
+        ("<a " * 100_000 + "<!-- " * 100_000, ("<a " * 100_000).strip()),
+        ("<p" * 100_000 + "<script>" + "a<b;" * 100_000, "<p" * 100_000),
+        ("x" * 1_000_000 + "&" * 10_000, "x" * 1_000_000 + "&" * 10_000),
+    ],
+)
+def test_plain_text(spark, page, text):
+    got = spark.createDataFrame([(page,)], "html string").select(warc_derivatives.plain_text(F.col("html")).alias("t")).first()["t"]
+    assert got == text
+
+
 def test_secret_scan(docs, rows, empty):
     got = secret_scan.secret_scan(docs).select("doc_id", "spans", "live", secret_scan.joined(F.col("every")).alias("all")).collect()
     want = {d: (s, live) for d, s, live in brute.secrets([(r[0], r[1], r[3]) for r in rows])}
