@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.functions.text import visible_text
 from brindle.plans.catalogue import query
 from brindle.session import table
 
@@ -38,14 +39,11 @@ def word_frequency(spark, d):
 
 
 @query(
-    """select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g'))) as digest,
+    """select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?(</script\\s*>|\\z)|<style\\b.*?(</style\\s*>|\\z)', ' ', 'gis'), '<[^<>]*>', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g'))) as digest,
     regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages"""
 )
 def page_text(spark, d):
-    html = F.col("html")
-    for pattern in (r"<(script|style)[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</(script|style)>", r"<[^>]*>", r"[ \n\t\r]+"):
-        html = F.regexp_replace(html, pattern, " ")
-    return table(spark, d, "pages").select("page_id", F.md5(F.trim(html)).alias("digest"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
+    return table(spark, d, "pages").select("page_id", F.md5(visible_text(F.col("html"))).alias("digest"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
 
 
 @query(

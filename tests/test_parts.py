@@ -57,6 +57,33 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_orderkey" not in plan[plan.index("ReadSchema") :]
 
 
+def test_visible_text_of_hostile_pages(spark):
+    from brindle.functions.text import visible_text
+
+    pages = ["<p>a</p><script>" + "a<b;" * 250_000 + "</script><p>b", "<" * 100_000 + "p>x", "<style>" * 100_000, "<script" + " <!" * 100_000]
+    got = [r["t"] for r in spark.createDataFrame([(p,) for p in pages], "html string").select(visible_text(F.col("html")).alias("t")).collect()]
+    assert got == ["a b", "<" * 99_999 + " x", "", ""]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from brindle import session
+
+    class Cluster:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+
+
 def test_forward_fill(spark):
     df = spark.createDataFrame([(1, 1, 7), (1, 2, None), (1, 3, 8), (2, 1, None)], "g int, o int, v int")
     assert [r["v"] for r in forward_fill(df, ["g"], "o", "v").orderBy("g", "o").collect()] == [7, 7, 8, None]
