@@ -70,18 +70,18 @@ def _fold(items: Column, seed: int) -> Column:
 
 
 def _coin(last: DataFrame, seed: int) -> DataFrame:
-    """Draw the last fractional document of each source's class: (sid, rid, up, part, done), part the rate for the classes below.
+    """Draw the last fractional document of each source's class: (sid, rid, up, part, done, classes), part the rate for the classes below.
 
     It is paired with all smaller documents as one: ``moved`` words change sides, as many as it needs to be whole,
     or as few as the smaller ones can give or hold. Up or down, at odds that keep its expectation and theirs.
-    last: (sid, part, room, state); room and state null where the source has no such class, state.carry where none is left.
+    last: (sid, part, classes, room, state); room and state null where the source has no such class, state.carry where none is left.
     """
-    last = last.select("sid", "part", "room", "state.done", "state.carry.*").withColumn("p", F.col("mass") / F.col("size")).withColumn("rest", F.col("room") * F.col("part"))
+    last = last.select("sid", "part", "classes", "room", "state.done", "state.carry.*").withColumn("p", F.col("mass") / F.col("size")).withColumn("rest", F.col("room") * F.col("part"))
     moved = F.least("size", F.col("rest") / (1 - F.col("p")), (F.col("room") - F.col("rest")) / F.col("p"))
     up = _uniform(F.lit(seed), F.col("key")) < F.col("p")
     rest = F.when(up, F.col("rest") - (1 - F.col("p")) * moved).otherwise(F.col("rest") + F.col("p") * moved)
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(rest, F.col("room"))))
-    return last.select("sid", "rid", up.alias("up"), F.when((F.col("room") > 0) & F.col("rid").isNotNull(), part).otherwise(F.col("part")).alias("part"), "done")
+    return last.select("sid", "rid", up.alias("up"), F.when((F.col("room") > 0) & F.col("rid").isNotNull(), part).otherwise(F.col("part")).alias("part"), "done", "classes")
 
 
 def pivotal(docs: DataFrame, parts: DataFrame, seed: int = 17, fan_in: int = 256) -> DataFrame:
@@ -103,9 +103,12 @@ def pivotal(docs: DataFrame, parts: DataFrame, seed: int = 17, fan_in: int = 256
     below = Window.partitionBy("sid").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
     own = docs.groupBy("sid", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
     own = keep(own.select("sid", "cls", "n", F.coalesce(F.sum("words").over(below), F.lit(0.0)).alias("room")))
+    classes = F.map_from_entries(F.collect_list(F.struct("cls", F.struct("n", "room"))))
+    parts = keep(parts.join(own.groupBy("sid").agg(classes.alias("classes")), "sid"))
     decided = [docs.limit(0).select("rid", F.lit(True).alias("up"))]
     for cls, n in own.groupBy("cls").agg(F.max("n")).orderBy(F.desc("cls")).collect():  # one row for a class
-        here = own.where(F.col("cls") == cls).select("sid", "n", "room").join(parts, "sid")
+        # A written table, so that Spark knows its size: few sources are broadcast, many are joined with skew handled.
+        here = parts.select("sid", "part", F.try_element_at("classes", F.lit(cls)).alias("of")).where("of is not null").select("sid", "part", "of.n")
         chunk = F.pmod(F.xxhash64(F.lit(seed), "key"), F.ceil(F.col("n") / fan_in)).alias("chunk")
         level = docs.where(F.col("cls") == cls).join(here, "sid").select("sid", chunk, "rid", "key", F.col("words").alias("size"), (F.col("words") * F.col("part")).alias("mass"))
         decided.append(level.where("mass <= 0 or mass >= size").select("rid", (F.col("mass") > 0).alias("up")))
@@ -113,6 +116,8 @@ def pivotal(docs: DataFrame, parts: DataFrame, seed: int = 17, fan_in: int = 256
         while True:
             items = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "key", "rid", "size", "mass")))
             items = F.transform(items, lambda i: F.struct(i["rid"].alias("rid"), i["key"].alias("key"), i["size"].alias("size"), i["mass"].alias("mass")))
+            # Else chunks would stay where the join has put their source, all of a hot one in one task.
+            level = level.repartition("sid", "chunk")
             folded = level.groupBy("sid", "chunk").agg(items.alias("items")).select("sid", "chunk", _fold(F.col("items"), seed).alias("state"))
             if chunks <= 1:
                 break
@@ -120,10 +125,10 @@ def pivotal(docs: DataFrame, parts: DataFrame, seed: int = 17, fan_in: int = 256
             decided.append(done.select(F.explode("state.done").alias("d")).select("d.rid", "d.up"))
             left = done.where("state.carry is not null").select("sid", "chunk", "state.carry.*")
             level, chunks = left.withColumn("chunk", F.floor(F.col("chunk") / fan_in)), -(-chunks // fan_in)
-        last = parts.join(here.select("sid", "room"), "sid", "left").join(folded.drop("chunk"), "sid", "left")
+        last = parts.withColumn("room", F.try_element_at("classes", F.lit(cls))["room"]).join(folded.drop("chunk"), "sid", "left")
         drawn = keep(_coin(last, seed))
         decided += [drawn.select(F.explode("done").alias("d")).select("d.rid", "d.up"), drawn.where("rid is not null").select("rid", "up")]
-        parts = drawn.select("sid", "part")
+        parts = drawn.select("sid", "part", "classes")
     return reduce(DataFrame.unionAll, decided)
 
 
