@@ -14,14 +14,16 @@ from .common import keep, ship, sliced
 
 END = "\n"  # the end token; no word holds white space
 SMOOTH = 0.1
+#: Numbers of the model in a row, where copies are averaged.
+BLOCK = 4096
 
 
 class Shape:
-    """Sizes of the model: frequent words with a class of their own, buckets for the others, context, dimensions."""
+    """Sizes of the model: classes of one word, buckets of words, words of the buckets that have items of their own, context, dimensions, noise words."""
 
-    def __init__(self, words: int = 191, buckets: int = 64, context: int = 3, dims: int = 12, noise: int = 24, step: float = 0.15, batch: int = 2048):
-        self.words, self.buckets, self.context, self.dims, self.noise, self.step, self.batch = words, buckets, context, dims, noise, step, batch
-        self.classes = words + 1 + buckets  # the end token has a class too; the number after the last pads the start
+    def __init__(self, words: int = 191, buckets: int = 64, items: int = 4000, context: int = 3, dims: int = 12, noise: int = 24, near: int = 4, step: float = 0.15, damp: float = 1e-4, batch: int = 2048):
+        self.words, self.buckets, self.items, self.context, self.dims, self.noise, self.near, self.step, self.damp, self.batch = words, buckets, items, context, dims, noise, near, step, damp, batch
+        self.classes = words + 1 + buckets  # the end token has a class too
 
     def bucket(self, word: Column) -> Column:
         """Class of a word without its own: by its last two letters, which tell languages apart."""
@@ -46,29 +48,54 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """q = sum over positions of a context class's vector; s(w | context) = q . r(w) + b(w)."""
+    """q = sum over positions of a context item's vector. s(class | context) = q . r(class) + b(class), and within
+    a bucket s(item | bucket, context) = q . v(item) + e(item); both normalised over all there are.
 
-    def __init__(self, shape: Shape, counts: np.ndarray):
+    Items: one for each class of one word, then those of each bucket in turn, the last of them for all its other
+    words. class_of: the class of each item; counts: how often each item is a training token. The number after the
+    last item pads the start of a text.
+    """
+
+    def __init__(self, shape: Shape, class_of: np.ndarray, counts: np.ndarray):
         rng = np.random.default_rng(5)
-        self.shape = shape
-        self.noise = ((counts + 1.0) / (counts + 1.0).sum()).astype(np.float32)
-        self.c = rng.normal(0, 0.1, (shape.context, shape.classes + 1, shape.dims)).astype(np.float32)
+        self.shape, self.class_of, self.first = shape, class_of, shape.words + 1
+        per_class = np.bincount(class_of, weights=counts, minlength=shape.classes)
+        self.noise = ((per_class + 1.0) / (per_class + 1.0).sum()).astype(np.float32)
+        self.c = rng.normal(0, 0.1, (shape.context, len(class_of) + 1, shape.dims)).astype(np.float32)
         self.r = rng.normal(0, 0.1, (shape.classes, shape.dims)).astype(np.float32)
         self.b = np.log(self.noise)
+        mine = class_of[self.first :]
+        self.v = rng.normal(0, 0.1, (len(mine), shape.dims)).astype(np.float32)
+        mass = counts[self.first :] + 1.0
+        self.ends = np.searchsorted(mine, np.arange(self.first, shape.classes), side="right")
+        self.starts = np.r_[0, self.ends[:-1]]
+        self.cum = np.cumsum(mass)
+        total = np.bincount(mine - self.first, weights=mass, minlength=shape.buckets)
+        self.near = (mass / total[mine - self.first]).astype(np.float32)  # an item's share of its bucket
+        self.e = np.log(self.near)
+
+    def values(self) -> tuple[np.ndarray, ...]:
+        return (*self.c, self.r, self.b, self.v, self.e)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.c.ravel(), self.r.ravel(), self.b]).astype(np.float64)
+        return np.concatenate([x.ravel() for x in self.values()])
 
     def load(self, flat: np.ndarray) -> Model:
-        flat = flat.astype(np.float32)
-        n, m = self.c.size, self.r.size
-        self.c, self.r, self.b = flat[:n].reshape(self.c.shape), flat[n : n + m].reshape(self.r.shape), flat[n + m :].copy()
+        at = 0
+        for x in self.values():
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
         return self
 
+    def weights(self, seen: np.ndarray) -> np.ndarray:
+        """What each number of flat() counts in the average of copies: how often the copy met its item or class; never quite 0."""
+        rows = [*[np.append(seen, seen.sum())] * self.shape.context, *[np.bincount(self.class_of, weights=seen, minlength=self.shape.classes)] * 2, *[seen[self.first :]] * 2]
+        return np.concatenate([np.repeat(n + 1e-3, x.size // len(n)) for n, x in zip(rows, self.values())]).astype(np.float32)
+
     def tokens(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes with the context's length of padding before each text, and where the tokens are."""
+        """Items with the context's length of padding before each text, and where the tokens are."""
         k = self.shape.context
-        pad = np.full(k, self.shape.classes, dtype=np.int64)
+        pad = np.full(k, len(self.class_of), dtype=np.int64)
         flat = np.concatenate([x for t in texts for x in (pad, t)])
         at = np.ones(len(flat), dtype=bool)
         starts = np.cumsum([0, *(len(t) + k for t in texts[:-1])])
@@ -82,64 +109,115 @@ class Model:
             q = q + self.c[i][flat[at - 1 - i]]
         return q
 
-    def learn(self, flat: np.ndarray, at: np.ndarray, rng, grads: list[np.ndarray]) -> None:
-        """One pass of noise-contrastive estimation; noise words are shared in a mini-batch. grads: squared sums."""
+    def drawn(self, rng, buckets: np.ndarray) -> np.ndarray:
+        """For each token's bucket ``near`` of its items, at random by their shares."""
+        low = np.where(self.starts > 0, self.cum[self.starts - 1], 0.0)[buckets][:, None]
+        at = low + rng.random((len(buckets), self.shape.near)) * (self.cum[self.ends[buckets] - 1][:, None] - low)
+        return np.clip(np.searchsorted(self.cum, at, side="right"), self.starts[buckets][:, None], self.ends[buckets][:, None] - 1)
+
+    def learn(self, flat: np.ndarray, at: np.ndarray, rng, squares: list[np.ndarray]) -> None:
+        """One pass of noise-contrastive estimation, classes and items of buckets at once. Noise classes are shared in a
+        mini-batch, noise items drawn for each token. squares: sums of squared gradients, as values()."""
         s = self.shape
         parts = max(1, -(-len(at) // s.batch))
-        log_k = np.log(s.noise)
-        log_noise = np.log(self.noise)
-        draws = rng.choice(s.classes, size=(parts, s.noise), p=self.noise / self.noise.sum())
+        log_k, log_near_k = np.float32(np.log(s.noise)), np.float32(np.log(s.near))
+        log_noise, log_near = np.log(self.noise), np.log(self.near)
+        draws = rng.choice(s.classes, size=(parts, s.noise), p=self.noise.astype(np.float64) / self.noise.sum(dtype=np.float64))
+
+        def pull(d):  # 1 - sigmoid
+            return 1 / (1 + np.exp(np.clip(d, -30, 30)))
+
+        def summed(index, values, n):
+            return np.stack([np.bincount(index, weights=values[:, d], minlength=n) for d in range(values.shape[1])], axis=1).astype(np.float32)
+
         for j in range(parts):
             pos, noise = at[j::parts], draws[j]
-            target, q = flat[pos], self.contexts(flat, pos)
+            own = flat[pos]
+            target, q = self.class_of[own], self.contexts(flat, pos)
             r_t, r_n = self.r[target], self.r[noise]
-            d_t = np.einsum("ij,ij->i", q, r_t) + self.b[target] - log_noise[target] - log_k
-            d_n = q @ r_n.T + (self.b[noise] - log_noise[noise] - log_k)
-            g_t = 1 / (1 + np.exp(np.clip(d_t, -30, 30)))  # 1 - sigmoid
-            g_n = -1 / (1 + np.exp(-np.clip(d_n, -30, 30)))
-            scale = np.float32(1 / len(pos))
+            g_t = pull(np.einsum("ij,ij->i", q, r_t) + self.b[target] - log_noise[target] - log_k)
+            g_n = -pull(-(q @ r_n.T + (self.b[noise] - log_noise[noise] - log_k)))
             g_q = g_t[:, None] * r_t + g_n @ r_n
-            one = np.zeros((s.classes, s.dims + 1), dtype=np.float32)
-            gathered = np.concatenate([g_t[:, None] * q, g_t[:, None]], axis=1)
-            for d in range(s.dims + 1):
-                one[:, d] = np.bincount(target, weights=gathered[:, d], minlength=s.classes)
+            one = summed(target, np.concatenate([g_t[:, None] * q, g_t[:, None]], axis=1), s.classes)
             np.add.at(one, noise, np.concatenate([g_n.T @ q, g_n.sum(0)[:, None]], axis=1))
-            changes = [(self.r, grads[1], one[:, :-1] * scale), (self.b, grads[2], one[:, -1] * scale)]
-            for i in range(s.context):
-                word = flat[pos - 1 - i]
-                g_c = np.stack([np.bincount(word, weights=g_q[:, d], minlength=s.classes + 1) for d in range(s.dims)], axis=1).astype(np.float32)
-                changes.append((self.c[i], grads[0][i], g_c * scale))
-            for value, square, g in changes:
+
+            inner = np.flatnonzero(own >= self.first)
+            items, q_in = own[inner] - self.first, q[inner]
+            other = self.drawn(rng, target[inner] - self.first)
+            v_t, v_n = self.v[items], self.v[other]
+            h_t = pull(np.einsum("ij,ij->i", q_in, v_t) + self.e[items] - log_near[items] - log_near_k)
+            h_n = -pull(-(np.einsum("ij,ikj->ik", q_in, v_n) + self.e[other] - log_near[other] - log_near_k))
+            g_q[inner] += h_t[:, None] * v_t + np.einsum("ik,ikj->ij", h_n, v_n)
+            pulls = np.concatenate([h_t, h_n.ravel()])[:, None]
+            two = summed(np.concatenate([items, other.ravel()]), np.concatenate([pulls * np.concatenate([q_in, np.repeat(q_in, s.near, axis=0)]), pulls], axis=1), len(self.v))
+
+            changes = [summed(flat[pos - 1 - i], g_q, len(self.class_of) + 1) for i in range(s.context)]
+            changes += [one[:, :-1], one[:, -1], two[:, :-1], two[:, -1]]
+            for value, square, g in zip(self.values(), squares, changes):
+                g = g * np.float32(1 / len(pos))
                 square += g * g
                 value += np.float32(s.step) * g / (np.sqrt(square) + np.float32(1e-6))
 
     def log10(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each token's class: batched products with all class vectors, normalised over all."""
+        """log10 probability of each token's item: batched products with all class vectors, then with all items of its bucket, normalised over them."""
         out = np.empty(len(at), dtype=np.float64)
         r = np.ascontiguousarray(np.concatenate([self.r, self.b[:, None]], axis=1).T)
-        for i in range(0, len(at), 4096):
-            pos = at[i : i + 4096]
+        v = np.ascontiguousarray(np.concatenate([self.v, self.e[:, None]], axis=1).T)
+
+        def own_share(scores, own):
+            scores -= scores.max(axis=1, keepdims=True)
+            mine = scores[np.arange(len(own)), own].astype(np.float64)
+            return mine - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+
+        for i in range(0, len(at), 8192):
+            pos = at[i : i + 8192]
             q = np.concatenate([self.contexts(flat, pos), np.ones((len(pos), 1), np.float32)], axis=1)
-            s = q @ r
-            s -= s.max(axis=1, keepdims=True)
-            own = s[np.arange(len(pos)), flat[pos]].astype(np.float64)
-            out[i : i + 4096] = own - np.log(np.exp(s, out=s).sum(axis=1, dtype=np.float64))
+            own = flat[pos]
+            classes = self.class_of[own]
+            logs = own_share(q @ r, classes)
+            order = np.argsort(classes, kind="stable")
+            cuts = np.searchsorted(classes[order], np.arange(self.first, self.shape.classes + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():  # of each bucket that occurs
+                mine, lo, hi = order[cuts[k] : cuts[k + 1]], self.starts[k], self.ends[k]
+                if hi - lo > 1:
+                    logs[mine] += own_share(q[mine] @ v[:, lo:hi], own[mine] - self.first - lo)
+            out[i : i + 8192] = logs
         return out / np.log(10)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None, head: int = 200_000) -> DataFrame:
+def averaged(copies: DataFrame, flat: np.ndarray) -> np.ndarray:
+    """Mean of the tasks' copies by weight. copies: (block, part, x, w), x and w Arrow bytes of BLOCK numbers; summed by block and part, then by block.
+
+    As many numbers as the model has go to the driver, however many tasks there are.
+    """
+
+    def summed(table: pa.Table) -> pa.Table:
+        x, w = (sum(np.frombuffer(b, np.float32).astype(np.float64) for b in table[n].to_pylist()).astype(np.float32).tobytes() for n in ("x", "w"))
+        return pa.table({"block": table["block"][:1], "part": pa.array([0], pa.int32()), "x": pa.array([x], pa.binary()), "w": pa.array([w], pa.binary())})
+
+    kind = "block int, part int, x binary, w binary"
+    out = flat.copy()
+    for r in copies.groupBy("block", "part").applyInArrow(summed, kind).groupBy("block").applyInArrow(summed, kind).collect():
+        at = r["block"] * BLOCK
+        out[at : at + BLOCK] = np.frombuffer(r["x"], np.float32) / np.frombuffer(r["w"], np.float32)
+    return out
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None, head: int = 200_000, rounds: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     Rows whose crc32 of the id as text is divisible by 10 are held out; the model learns from all others.
-    1. Spark counts the training tokens. 2. Every text becomes the classes of its tokens: frequent words
-    have their own, others share buckets. 3. Each task trains a copy of the model on all its training
-    texts; Spark averages the copies by their tokens. 4. Tasks score all texts: the class by the model,
-    normalised over all classes; the word in a bucket by its smoothed share of the bucket. So the
-    probabilities of all words, a new one per bucket included, sum to one.
+    1. Spark counts the training tokens. 2. Every text becomes items: the most frequent words are classes of
+    their own, the ``items`` next ones (Shape) have items in the buckets of their endings, all others share one item a
+    bucket. 3. In each of ``rounds`` rounds, each task trains a copy of the model on its training texts of that
+    round, all texts in one round or another; Spark averages the copies by how often each met an item. 4. Tasks
+    score all texts: the class, then the item in its bucket, both by the model; a word that shares an item by
+    its smoothed share of the item's words. So the probabilities of all words, a new one per bucket included,
+    sum to one.
 
     The ``head`` most frequent words (a bound) go to the tasks with their counts; others are joined.
-    Null text: empty, one end token. Null id: as an empty one, held out. Repeated rows: each is scored. No
-    training rows: counts are 0 and the model stays as it starts. Empty table: no rows.
+    Null text: empty, one end token. Null id: as an empty one, held out. Repeated rows: each is scored. Very
+    long texts: whole. No training rows: counts are 0 and the model stays as it starts. Empty table: no rows.
     """
     shape = shape or Shape()
     ship(docs.sparkSession)
@@ -148,25 +226,38 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("c"), "word").limit(head).collect()  # bounded by head
     ends = counts.where(F.col("word") == END).first()
-    own = [r["word"] for r in top if r["word"] != END][: shape.words]
-    classes = {w.encode(): i for i, w in enumerate(own)} | {END.encode(): shape.words}
-    places = {r["word"].encode(): i for i, r in enumerate(top)} | ({} if ends and ends in top else {END.encode(): len(top)})
-    top_c = np.array([r["c"] for r in top] + [ends["c"] if ends else 0], dtype=np.float64)
-    in_bucket = counts.where(~F.col("word").isin([*own, END])).groupBy(shape.bucket(F.col("word")).alias("k"))
-    class_c = np.zeros(shape.classes)
-    class_v = np.zeros(shape.classes)
-    for r in in_bucket.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():  # one row for a bucket
-        class_c[r["k"]], class_v[r["k"]] = r["c"], r["n"]
-    for w, i in classes.items():
-        class_c[i] = top_c[places[w]]
-    place_class = np.zeros(len(top_c), dtype=np.int64)
-    for w, i in places.items():
-        place_class[i] = classes.get(w, -1)
-        if place_class[i] < 0:
-            place_class[i] = shape.bucket_of(w)
-    bucket_total = class_c + SMOOTH * (class_v + 1)
+    named = [r["word"].encode() for r in top if r["word"] != END]
+    own, nearer = named[: shape.words], named[shape.words :][: shape.items]
+    count = {r["word"].encode(): float(r["c"]) for r in top} | {END.encode(): float(ends["c"]) if ends else 0.0}
+    # Items of each bucket: its words of the head, by name, then one for all its others.
+    in_bucket: list[list[bytes]] = [[] for _ in range(shape.buckets)]
+    for w in sorted(nearer):
+        in_bucket[shape.bucket_of(w) - shape.words - 1].append(w)
+    item = {w: i for i, w in enumerate(own)} | {END.encode(): shape.words}
+    class_of, item_c, rest_item = [*range(shape.words + 1)], np.zeros(shape.words + 1 + len(nearer) + shape.buckets), []
+    for k, words in enumerate(in_bucket):
+        for w in words:
+            item[w] = len(class_of)
+            class_of.append(shape.words + 1 + k)
+        rest_item.append(len(class_of))
+        class_of.append(shape.words + 1 + k)
+    for w, i in item.items():
+        item_c[i] = count[w]
+    class_of, rest_item = np.array(class_of), np.array(rest_item)
+    rest_c, rest_v = np.zeros(shape.buckets), np.zeros(shape.buckets)  # of the words that share a bucket's last item
+    for r in counts.where(F.col("word") != END).groupBy(shape.bucket(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():  # one row for a bucket
+        rest_c[r["k"] - shape.words - 1], rest_v[r["k"] - shape.words - 1] = r["c"], r["n"]
+    for w in (*own, *nearer):
+        rest_c[shape.bucket_of(w) - shape.words - 1] -= count[w]
+        rest_v[shape.bucket_of(w) - shape.words - 1] -= 1
+    item_c[rest_item] = rest_c
+    rest_total = rest_c + SMOOTH * (rest_v + 1)
+    places = {w: i for i, w in enumerate(count)}
+    top_c = np.array(list(count.values()))
+    place_item = np.array([item.get(w, -1) if w in item else rest_item[shape.bucket_of(w) - shape.words - 1] for w in places])
+    shared = np.array([w not in item for w in places])
     place_base = np.log10((top_c + SMOOTH) / (n + SMOOTH * (v + 1)))
-    place_share = np.where(place_class > shape.words, np.log10((top_c + SMOOTH) / bucket_total[place_class]), 0.0)
+    place_share = np.where(shared, np.log10((top_c + SMOOTH) / rest_total[np.maximum(class_of[place_item] - shape.words - 1, 0)]), 0.0)
     new_base = float(np.log10(SMOOTH / (n + SMOOTH * (v + 1))))
 
     def encode(batches):
@@ -182,9 +273,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     buckets.clear()
                 for w in rest:
                     if w not in buckets:
-                        buckets[w] = shape.bucket_of(w)
+                        buckets[w] = int(rest_item[shape.bucket_of(w) - shape.words - 1])
                 at = np.append(at, end)
-                kind = place_class[at]
+                kind = place_item[at]
                 kind[:-1][at[:-1] < 0] = [buckets[w] for w in rest]
                 here = at[at >= 0]
                 cols[0].append(len(at))
@@ -199,29 +290,31 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coded = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     coded = keep(coded.mapInArrow(encode, "rid long, doc_id long, n_tokens long, n_known long, base double, share double, kinds binary, rest array<string>"))
 
-    start = Model(shape, class_c)
+    flat = Model(shape, class_of, item_c).flat()
+    training = coded.where(~held_out(F.col("doc_id")))
 
     def train(batches):
-        model = Model(shape, class_c)
-        grads = [np.full_like(x, 1e-6) for x in (model.c, model.r, model.b)]
-        rng, seen = np.random.default_rng(11), 0
+        model = Model(shape, class_of, item_c).load(flat)
+        squares = [np.full_like(x, shape.damp) for x in model.values()]  # what met little moves little
+        rng, seen = np.random.default_rng(11), np.zeros(len(class_of))
+        part = 0
         for batch in sliced(batches, 400):
-            texts = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in batch.column(0).to_pylist()]
-            flat, at = model.tokens(texts)
-            model.learn(flat, at, rng, grads)
-            seen += len(at)
-        if seen:
-            flat = model.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "x", "w"])
-
-    learned = coded.where(~held_out(F.col("doc_id"))).select("kinds").mapInArrow(train, "i int, x double, w double")
-    learned = learned.groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).collect()  # as many rows as parameters
-    flat = start.flat()
-    for r in learned:
-        flat[r["i"]] = r["x"]
+            part = batch.column(1)[0].as_py()
+            items, at = model.tokens([np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in batch.column(0).to_pylist()])
+            model.learn(items, at, rng, squares)
+            seen += np.bincount(items[at], minlength=len(class_of))
+        if seen.any():
+            x, w = model.flat(), model.weights(seen)
+            blocks = range(0, len(x), BLOCK)
+            cols = [np.arange(len(blocks)), np.full(len(blocks), part), [(x[i : i + BLOCK] * w[i : i + BLOCK]).tobytes() for i in blocks], [w[i : i + BLOCK].tobytes() for i in blocks]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["block", "part", "x", "w"])
+
+    for turn in range(rounds):
+        texts = training.where(F.pmod(F.xxhash64("rid"), F.lit(rounds)) == turn).select("kinds", (F.spark_partition_id() % 64).alias("part"))
+        flat = averaged(texts.mapInArrow(train, "block int, part int, x binary, w binary"), flat)
 
     def score(batches):
-        model = Model(shape, class_c).load(flat)
+        model = Model(shape, class_of, item_c).load(flat)
         for batch in sliced(batches, 400):
             texts = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in batch.column(1).to_pylist()]
             tokens, at = model.tokens(texts)
@@ -230,7 +323,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], ["rid", "by_class"])
 
     by_class = keep(coded.select("rid", "kinds").mapInArrow(score, "rid long, by_class double"))
-    totals = F.array(*[F.lit(float(x)) for x in bucket_total[shape.words + 1 :]])
+    totals = F.array(*[F.lit(float(x)) for x in rest_total])
     rare = counts.where(F.col("c") <= (top[-1]["c"] if top else 0)).withColumnRenamed("word", "w")
     rest = coded.select("rid", F.explode("rest").alias("w")).join(rare, "w", "left")
     c = F.coalesce("c", F.lit(0))

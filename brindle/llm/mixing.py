@@ -84,7 +84,7 @@ def _coin(last: DataFrame, seed: int) -> DataFrame:
     return last.select("sid", "rid", up.alias("up"), F.when((F.col("room") > 0) & F.col("rid").isNotNull(), part).otherwise(F.col("part")).alias("part"), "done", "classes")
 
 
-def pivotal(docs: DataFrame, parts: DataFrame, seed: int = 17, fan_in: int = 256) -> DataFrame:
+def pivotal(docs: DataFrame, parts: DataFrame, seed: int = 17, fan_in: int = 512) -> DataFrame:
     """(rid, up) for each document: whether its fraction is rounded up.
 
     docs: (rid, key, sid, words), rid its own number, key what random numbers follow from, sid the source's
@@ -134,7 +134,7 @@ def pivotal(docs: DataFrame, parts: DataFrame, seed: int = 17, fan_in: int = 256
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0, fan_in: int = 256, seed: int = 17,
+    weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0, fan_in: int = 512, seed: int = 17,
 ) -> DataFrame:
     """(doc_id, text_key, source, size, source_size, target, copies, taken) for each row.
 

@@ -3,6 +3,7 @@
 import datetime
 import gzip
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import brute
@@ -68,18 +69,86 @@ def test_lm_scoring(docs, rows, empty):
     assert lm_scoring.score_documents(empty).count() == 0
 
 
+def small_model(context=2):
+    """Three words and the end as classes, two buckets of two and three items."""
+    shape = lm_scoring.Shape(words=3, buckets=2, items=3, context=context, dims=4, noise=3, near=2, batch=5)
+    return lm_scoring.Model(shape, np.array([0, 1, 2, 3, 4, 4, 5, 5, 5]), np.array([9.0, 5, 4, 3, 2, 7, 1, 1, 6]))
+
+
 def test_lm_is_normalised():
-    shape = lm_scoring.Shape(words=5, buckets=3)
-    model = lm_scoring.Model(shape, np.arange(9.0))
-    model.r += 0.5
-    flat, at = model.tokens([np.array([1, 2, 3])])
+    model = small_model()
+    for x in model.values():
+        x += np.random.default_rng(1).normal(size=x.shape).astype(np.float32)
+    flat, at = model.tokens([np.array([1, 6, 3])])
     total = 0
-    for c in range(shape.classes):
-        flat[at[1]] = c
+    for item in range(9):
+        flat[at[1]] = item
         total += 10 ** model.log10(flat, at[1:2])[0]
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_words_that_share_an_item(spark):
+    """Texts of one word whose item is the same differ by the word's smoothed share of it alone, in the head or joined; a new word has the share that is left."""
+    words = [f"w{i}{e}" for e in ("aa", "bb") for i in range(6)]
+    train = [(d, " ".join(words[:: 1 + d % 3])) for d in range(40)]
+    kept = Counter(w for d, t in train if zlib.crc32(str(d).encode()) % 10 for w in t.split())
+    shape = lm_scoring.Shape(words=2, buckets=3, items=4, noise=4)
+    first = [w for w, _ in sorted(kept.items(), key=lambda x: (-x[1], x[0]))][:6]
+    fresh = {shape.bucket_of(w.encode()): w for w in (f"new{chr(97 + i)}{chr(98 + i)}" for i in range(20))}
+    asked = [w for w in words if w not in first] + [*fresh.values()]
+    ids = [d for d in range(2000, 9000) if zlib.crc32(str(d).encode()) % 10 == 0][: len(asked)]  # held out, so that they add nothing to the counts
+    docs = spark.createDataFrame(train + [*zip(ids, asked)], "doc_id long, text string")
+    for head in (3, 9, 200):
+        got = by_id(lm_scoring.score_documents(docs, shape=shape, head=max(head, 7)), "score")
+        scores = {w: got[d][0] for d, w in zip(ids, asked)}
+        for w in asked:
+            new = fresh[shape.bucket_of(w.encode())]
+            assert scores[w] - scores[new] == pytest.approx(np.log10((kept[w] + 0.1) / 0.1), abs=1e-6)
+
+
+def test_lm_learns_as_a_plain_loop():
+    """One mini-batch against noise-contrastive gradients summed token by token."""
+    model, plain = small_model(), small_model()
+    flat, at = model.tokens([np.array([0, 5, 7, 8, 3])])
+    squares = [np.full_like(x, model.shape.damp) for x in model.values()]
+    model.learn(flat, at, np.random.default_rng(2), squares)
+    s, rng = plain.shape, np.random.default_rng(2)
+    noise = rng.choice(s.classes, size=(1, s.noise), p=plain.noise.astype(np.float64) / plain.noise.sum(dtype=np.float64))[0]
+    inner = [p for p in at if flat[p] >= plain.first]
+    other = dict(zip(inner, plain.drawn(rng, plain.class_of[flat[inner]] - plain.first)))
+    grads = [np.zeros(x.shape) for x in plain.values()]
+    sigmoid = lambda d: 1 / (1 + np.exp(-d))
+    for p in at:
+        before = [flat[p - 1 - i] for i in range(s.context)]
+        q = sum(plain.c[i][w].astype(float) for i, w in enumerate(before))
+        g_q = np.zeros(s.dims)
+
+        def pull(vectors, biases, g_v, g_b, k, share, times, wanted):
+            d = q @ vectors[k] + biases[k] - np.log(share[k] * times)
+            g = (1 - sigmoid(d)) if wanted else -sigmoid(d)
+            g_v[k] += g * q
+            g_b[k] += g
+            return g * vectors[k]
+
+        one = lambda k, wanted: pull(plain.r, plain.b, grads[2], grads[3], k, plain.noise, s.noise, wanted)
+        two = lambda k, wanted: pull(plain.v, plain.e, grads[4], grads[5], k, plain.near, s.near, wanted)
+        g_q += one(plain.class_of[flat[p]], True) + sum(one(k, False) for k in noise)
+        if p in other:
+            g_q += two(flat[p] - plain.first, True) + sum(two(k, False) for k in other[p])
+        for i, w in enumerate(before):
+            grads[i][w] += g_q
+    for was, now, g in zip(plain.values(), model.values(), grads):
+        g = g / len(at)
+        assert now == pytest.approx(was + s.step * g / (np.sqrt(s.damp + g * g) + 1e-6), abs=1e-5)
+
+
+def test_lm_average_of_copies(spark):
+    x = np.arange(2 * lm_scoring.BLOCK + 5, dtype=np.float32)
+    copies = [(b, p, ((x[at : at + lm_scoring.BLOCK] + p) * w).tobytes(), np.full(len(x[at : at + lm_scoring.BLOCK]), w, np.float32).tobytes()) for p, w in ((0, 1), (1, 3), (1, 4)) for b, at in enumerate(range(0, len(x), lm_scoring.BLOCK))]
+    got = lm_scoring.averaged(spark.createDataFrame([(b, p, bytearray(y), bytearray(w)) for b, p, y, w in copies], "block int, part int, x binary, w binary"), np.zeros_like(x))
+    assert got == pytest.approx(x + 7 / 8, rel=1e-4)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     found = QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert found[0] > found[1]
