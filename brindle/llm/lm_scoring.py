@@ -127,8 +127,19 @@ class Model:
         def pull(d):  # 1 - sigmoid
             return 1 / (1 + np.exp(np.clip(d, -30, 30)))
 
-        def summed(index, values, n):
-            return np.stack([np.bincount(index, weights=values[:, d], minlength=n) for d in range(values.shape[1])], axis=1).astype(np.float32)
+        def summed(index, values):
+            """Rows that occur, and the sums of their values."""
+            order = np.argsort(index.astype(np.int16), kind="stable")  # items fit, and short numbers sort by radix
+            index = index[order]
+            ends = np.flatnonzero(np.r_[index[1:] != index[:-1], True])
+            upto = np.cumsum(values[order], axis=0, dtype=np.float64)[ends]
+            upto[1:] -= upto[:-1].copy()
+            return index[ends], upto.astype(np.float32)
+
+        def move(value, square, rows, g):
+            g = g * np.float32(1 / len(pos))
+            square[rows] = to = square[rows] + g * g
+            value[rows] += np.float32(s.step) * g / (np.sqrt(to) + np.float32(1e-6))
 
         for j in range(parts):
             pos, noise = at[j::parts], draws[j]
@@ -138,8 +149,8 @@ class Model:
             g_t = pull(np.einsum("ij,ij->i", q, r_t) + self.b[target] - log_noise[target] - log_k)
             g_n = -pull(-(q @ r_n.T + (self.b[noise] - log_noise[noise] - log_k)))
             g_q = g_t[:, None] * r_t + g_n @ r_n
-            one = summed(target, np.concatenate([g_t[:, None] * q, g_t[:, None]], axis=1), s.classes)
-            np.add.at(one, noise, np.concatenate([g_n.T @ q, g_n.sum(0)[:, None]], axis=1))
+            pulls = np.concatenate([np.concatenate([g_t[:, None] * q, g_t[:, None]], axis=1), np.concatenate([g_n.T @ q, g_n.sum(0)[:, None]], axis=1)])
+            one, g_one = summed(np.concatenate([target, noise]), pulls)
 
             inner = np.flatnonzero(own >= self.first)
             items, q_in = own[inner] - self.first, q[inner]
@@ -148,40 +159,37 @@ class Model:
             h_t = pull(np.einsum("ij,ij->i", q_in, v_t) + self.e[items] - log_near[items] - log_near_k)
             h_n = -pull(-(np.einsum("ij,ikj->ik", q_in, v_n) + self.e[other] - log_near[other] - log_near_k))
             g_q[inner] += h_t[:, None] * v_t + np.einsum("ik,ikj->ij", h_n, v_n)
-            pulls = np.concatenate([h_t, h_n.ravel()])[:, None]
-            two = summed(np.concatenate([items, other.ravel()]), np.concatenate([pulls * np.concatenate([q_in, np.repeat(q_in, s.near, axis=0)]), pulls], axis=1), len(self.v))
-
-            changes = [summed(flat[pos - 1 - i], g_q, len(self.class_of) + 1) for i in range(s.context)]
-            changes += [one[:, :-1], one[:, -1], two[:, :-1], two[:, -1]]
-            for value, square, g in zip(self.values(), squares, changes):
-                g = g * np.float32(1 / len(pos))
-                square += g * g
-                value += np.float32(s.step) * g / (np.sqrt(square) + np.float32(1e-6))
+            pulls = np.concatenate([np.concatenate([h_t[:, None] * q_in, h_t[:, None]], axis=1), np.concatenate([h_n[:, :, None] * q_in[:, None, :], h_n[:, :, None]], axis=2).reshape(-1, s.dims + 1)])
+            two, g_two = summed(np.concatenate([items, other.ravel()]), pulls) if len(items) else (items, pulls)
+            for i in range(s.context):
+                move(self.c[i], squares[i], *summed(flat[pos - 1 - i], g_q))
+            for value, square, rows, g in zip(self.values()[s.context :], squares[s.context :], (one, one, two, two), (g_one[:, :-1], g_one[:, -1], g_two[:, :-1], g_two[:, -1])):
+                move(value, square, rows, g)
 
     def log10(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each token's item: batched products with all class vectors, then with all items of its bucket, normalised over them."""
-        out = np.empty(len(at), dtype=np.float64)
         r = np.ascontiguousarray(np.concatenate([self.r, self.b[:, None]], axis=1).T)
         v = np.ascontiguousarray(np.concatenate([self.v, self.e[:, None]], axis=1).T)
-
-        def own_share(scores, own):
-            scores -= scores.max(axis=1, keepdims=True)
-            mine = scores[np.arange(len(own)), own].astype(np.float64)
-            return mine - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
-
-        for i in range(0, len(at), 8192):
-            pos = at[i : i + 8192]
-            q = np.concatenate([self.contexts(flat, pos), np.ones((len(pos), 1), np.float32)], axis=1)
-            own = flat[pos]
-            classes = self.class_of[own]
-            logs = own_share(q @ r, classes)
-            order = np.argsort(classes, kind="stable")
-            cuts = np.searchsorted(classes[order], np.arange(self.first, self.shape.classes + 1))
-            for k in np.flatnonzero(np.diff(cuts)).tolist():  # of each bucket that occurs
-                mine, lo, hi = order[cuts[k] : cuts[k + 1]], self.starts[k], self.ends[k]
-                if hi - lo > 1:
-                    logs[mine] += own_share(q[mine] @ v[:, lo:hi], own[mine] - self.first - lo)
-            out[i : i + 8192] = logs
+        q = np.concatenate([self.contexts(flat, at), np.ones((len(at), 1), np.float32)], axis=1)
+        own = flat[at]
+        classes = self.class_of[own]
+
+        def own_share(q, vectors, own):
+            out = np.empty(len(own), dtype=np.float32)
+            for i in range(0, len(own), 512):  # as much as a processor's cache holds
+                scores = q[i : i + 512] @ vectors
+                scores -= scores.max(axis=1, keepdims=True)
+                mine = scores[np.arange(len(scores)), own[i : i + 512]]
+                out[i : i + 512] = mine - np.log(np.exp(scores, out=scores).sum(axis=1))
+            return out
+
+        out = own_share(q, r, classes).astype(np.float64)
+        order = np.argsort(classes, kind="stable")
+        cuts = np.searchsorted(classes[order], np.arange(self.first, self.shape.classes + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():  # of each bucket that occurs
+            mine, lo, hi = order[cuts[k] : cuts[k + 1]], self.starts[k], self.ends[k]
+            if hi - lo > 1:
+                out[mine] += own_share(q[mine], v[:, lo:hi], own[mine] - self.first - lo)
         return out / np.log(10)
 
 
