@@ -52,3 +52,20 @@ def stream_static_join(spark, d):
 )
 def stream_interval_join(spark, d):
     return _written(ev.followed_by(_events(spark, d), "click", "purchase", "1 hour"), "append")
+
+
+@query(
+    """with marked as (select user_id, ts, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 30 minutes then 0 else 1 end as new from events),
+    numbered as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from marked)
+    select min(ts) as start, user_id, count(*) as n from numbered group by user_id, k"""
+)
+def stream_session_windows(spark, d):
+    return _written(ev.session_counts(_events(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select user_id, count(*) as n, round(sum(value), 2) as total from events group by 1")
+def stream_running_totals(spark, d):
+    """State of each user over many batches; the last totals of each."""
+    at, df = f"{shared_dir(spark)}/brindle-stream-{uuid.uuid4().hex}", ev.running_totals(_events(spark, d))
+    ev.to_files(df, f"{at}/out", f"{at}/checkpoint", "update").awaitTermination()
+    return ev.latest(spark, f"{at}/out", df.schema, ["user_id"]).withColumn("total", F.round("total", 2))

@@ -12,6 +12,7 @@ FORMATS = {
     "json": {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"},
     "csv": {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
     "xml": {"rowTag": "row", "rootTag": "rows", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+    "text": {},
 }
 
 
@@ -28,6 +29,12 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructTyp
     return (found.schema(schema) if schema else found).load(path)
 
 
-def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> None:
-    """A table bucketed and sorted by its keys, so that joins on them need no shuffle."""
-    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
+def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, modificationTime, length, content) of the files whose names match, each file whole in one row."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> None:
+    """A table bucketed and sorted by its keys, so that joins on them need no shuffle; in the warehouse, or at a path."""
+    out = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(name)

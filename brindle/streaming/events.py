@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -63,8 +64,20 @@ def to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") ->
 
 
 def to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run over what is there, into Parquet: batches are added, or each replaces the last in complete mode."""
+    """Run over what is there, into Parquet: batches are added, in complete mode each replaces the last.
+
+    In update mode each batch is a folder of its own, as groups that a batch did not change are not in it; see latest().
+    """
     out = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         return out.format("parquet").start(path)
+    if mode == "update":
+        return out.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
     return out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+
+
+def latest(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """What to_files wrote in update mode: of each key the row of the newest batch."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    newest = F.max_by(F.struct(*[F.col(c) for c in schema.names]), "batch")
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(newest.alias("row")).select("row.*")
