@@ -93,6 +93,26 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(named, on, how).drop(*[f"__{k}" for k in keys])
 
 
+#: Bits of one bitmap, and the most bitmaps that are broadcast: 16 MB in all.
+MAP_BITS, MOST_MAPS = 32768, 4096
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows with a boolean ``maybe``, true for each whose columns ``on`` are in keys and for few others; nothing of rows is shuffled.
+
+    What is broadcast is a bitmap of the keys' hashes with 64 bits a key, MOST_MAPS * 4 KB at most. With more keys
+    than that has room for, more rows are true, so whoever asks decides these exactly, by a join of those alone.
+    """
+    maps = min(MOST_MAPS, max(1, -(-64 * keys.count() // MAP_BITS)))
+    code = F.xxhash64(*on)
+    at, bit = F.pmod(F.shiftright(code, 15), F.lit(maps)).cast("int").alias("__map"), code.bitwiseAND(F.lit(MAP_BITS - 1)).cast("int")
+    bitmaps = keep(keys.select(at, bit.alias("bit")).repartition("__map").groupBy("__map").agg(F.bitmap_construct_agg("bit").alias("__bits")))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.expr("shiftright(__byte, __bit) % 2 = 1")
+    rows = rows.withColumn("__map", at).join(F.broadcast(bitmaps), "__map", "left").withColumns({"__byte": byte, "__bit": bit.bitwiseAND(F.lit(7))})
+    return rows.withColumn("maybe", F.coalesce(found, F.lit(False))).drop("__map", "__bits", "__byte", "__bit")
+
+
 def sliced(batches, rows: int = 1000):
     """Arrow batches of at most so many rows, to bound what a Python worker holds."""
     for batch in batches:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, keep, ship, signed, sliced
+from .common import components, keep, maybe_in, ship, signed, sliced
 
 SIZE = 5
 LEAST = 0.8
@@ -120,8 +120,9 @@ def similar_links(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     member = keep(put.join(met, "band"))
     near = F.least("n", "low.n") >= LEAST * F.greatest("n", "low.n")
     star = keep(member.where(F.col("node") != F.col("low.node")).where(near).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
-    want = member.where("many > 2").select("node").unionAll(star.select("a")).unionAll(star.select("b")).distinct()
-    sets = keep(texts.join(keep(want), "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, found binary").dropDuplicates(["node"]))
+    want = keep(member.where("many > 2").select("node").unionAll(star.select("a")).unionAll(star.select("b")).distinct())
+    asked = maybe_in(texts.select("node", "text"), want, ["node"]).where("maybe").select("node", "text")
+    sets = keep(asked.dropDuplicates(["node"]).join(want, "node", "left_semi").mapInArrow(_sets, "node long, found binary"))
     pairs = star.join(sets.withColumnsRenamed({"node": "a", "found": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "found": "y"}), "b")
     links = keep(pairs.select("a", "b", "x", "y").mapInArrow(_pairs, "a long, b long"))
     roots = keep(components(links))

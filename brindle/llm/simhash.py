@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, null_safe, ship, signed, sliced, whole_row
+from .common import components, keep, maybe_in, null_safe, ship, signed, sliced, whole_row
 
 #: Most fingerprints that one task compares in one go; larger groups are split, then cut into blocks.
 BLOCK = 512
@@ -135,13 +135,20 @@ def stay_one(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """One row of each group: that with the smallest doc_id, a null one last, and of its texts one. Same columns.
 
     roots: (node, root) by text_key(); texts that are not in it are groups of their own. Repeated rows stay once.
+    Only rows that may have to go are shuffled with their texts; all others pass as they are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("node"))
     rows = rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("many"))
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stay = keep(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node", "many")).alias("s")).select("s.id", "s.node", "s.many"))
+    rows = keep(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    stay = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node", "many")).alias("s"))
+    stay = keep(stay.select("root", "s.id", "s.node", "s.many"))
+    first = F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("node") == F.col("stay_node"))
+    cut = rows.join(stay.select("root", F.col("id").alias("stay_id"), F.col("node").alias("stay_node")), "root").where(~first | (F.col("many") > 1))
     own = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("node"))
-    once = null_safe(own, stay.where("many = 1").select("id", "node"), ["id", "node"], "left_semi").select("row.*")
+    own = maybe_in(own, keep(cut.select("id", "node")), ["id", "node"])
+    sure = own.where(~F.col("maybe")).select("row.*")
+    own = own.where("maybe").drop("maybe")
+    once = sure.unionAll(null_safe(own, stay.where("many = 1").select("id", "node"), ["id", "node"], "left_semi").select("row.*"))
     twice = stay.where("many > 1").select("id", "node")
     if twice.isEmpty():
         return once

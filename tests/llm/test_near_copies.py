@@ -1,11 +1,13 @@
 """The pipeline's near copies against all pairs: five-word shingles with similarity 0.8, or SimHash within three bits."""
 
+import json
 import random
 
 import brute
 import corpus_pipeline
 
-from brindle.llm import near_copies
+from brindle.llm import near_copies, simhash
+from brindle.llm.common import maybe_in
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +80,30 @@ def test_first_stages(spark):
     out = corpus_pipeline.near_dedup(spark, corpus_pipeline.quality(spark, docs, SF), SF)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [r for r in rows if want[r[0]] == r[0]]
+
+
+def test_maybe_in_misses_no_key(spark):
+    keys = spark.range(0, 30000, 3).selectExpr("if(id = 0, null, id) as id", "id * 7 as node")
+    rows = spark.range(30000).selectExpr("if(id = 0, null, id) as id", "id * 7 as node", "'x' as bit")
+    got = {(r.id, r.maybe) for r in maybe_in(rows, keys, ["id", "node"]).select("id", "maybe").collect()}
+    assert len(got) == 30000
+    assert all((i, True) in got for i in [None, *range(3, 30000, 3)])
+    assert sum(m for _, m in got) < 10000 + 20000 * 0.05
+    assert not any(r.maybe for r in maybe_in(rows, keys.where("false"), ["id", "node"]).collect())
+
+
+def test_stay_one_against_brute_force(spark):
+    texts = ["a", "b", "c", "d", None]
+    rows = [(i if i % 11 else None, texts[(i * i + i // 5) % 5], i % 4) for i in range(60)] + [(7, "b", 1), (7, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, maybe int")
+    node = {t: k for t, k in docs.select("text", simhash.text_key()).distinct().collect()}
+    roots = spark.createDataFrame([(node["a"], 1), (node["b"], 1), (node["c"], 2)], "node long, root long")
+    group = {"a": 1, "b": 1, "c": 2, "d": "d", None: "none"}
+    best = {}
+    for r in rows:
+        key = (r[0] is None, r[0] or 0, node[r[1]], json.dumps(r))
+        best[group[r[1]]] = min(best.get(group[r[1]], (key, r)), (key, r), key=lambda x: x[0])
+    got = simhash.stay_one(docs, roots)
+    assert got.columns == ["doc_id", "text", "maybe"]
+    ids = sorted((r.doc_id is None, r.doc_id or 0, str(r.text)) for r in got.collect())
+    assert ids == sorted((r[0] is None, r[0] or 0, str(r[1])) for _, r in best.values())
