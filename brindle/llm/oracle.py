@@ -158,6 +158,56 @@ judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base
 select *, not base_failed and n_words - n_removed >= 0.5 * n_words as kept from judged
 """
 
+#: CRC-32 of ASCII text, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::bigint), lambda c, b: list_reduce(range(8), lambda v, i: xor(v >> 1, (v & 1) * 3988292384), xor(c, b)), 4294967295::bigint), 4294967295::bigint)"""
+#: What inserts may come before a row: from state (0 start, 1 after s, 2 after u, 3 after ua), labels, lines, to state.
+_MOVES = ", ".join(
+    f"({state}, '{'I' * n}', [{', '.join(repr(x) for x in (['user:', 'assistant:', 'user:', 'assistant:'] if state != 2 else ['assistant:', 'user:', 'assistant:'])[:n])}]::varchar[], {state if n == 0 else (2, 3)[(n + (state == 2) + 1) % 2]})"
+    for state in range(4)
+    for n in range(4)
+)
+
+OP12 = rf"""
+with recursive numbered as (
+  select row_number() over () as mid, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_CRC.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as draw from conversations),
+damaged as (
+  select mid, conv_id, turn, case when draw = 4 then 'user' else role end as role, case draw when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case draw when 0 then [] when 3 then [0, 1] else [0] end) as copy from numbered),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text[:256], md5(text), mid, copy) as n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from damaged),
+faulty as (
+  select conv_id, n, turn, role, text, role[:1] as initial, lag(role[:1]) over (partition by conv_id order by n) as before,
+    case when bare = '' then 'b' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'd' when bare[-1] not in ('.', '!', '?') then 't' else '-' end as fault from placed),
+ids as (select row_number() over () as cid, conv_id from (select distinct conv_id from conversations)),
+coded as (select cid, f.* from faulty f join ids on f.conv_id is not distinct from ids.conv_id),
+moves(state, inserts, said, then_state) as (values {_MOVES}),
+paths as (
+  select cid, 0::bigint as n, 0 as state, 0::bigint as cost, '' as audit, []::varchar[] as said from ids
+  union all
+  select cid, n, state, best.cost, best.audit, best.said from (
+    select c.cid, c.n, e.state, min({{'cost': p.cost + 2 * length(m.inserts) + e.cost, 'audit': p.audit || m.inserts || e.label, 'said': p.said || m.said || e.said}}) as best
+    from paths p join coded c on c.cid = p.cid and c.n = p.n + 1 join moves m on m.state = p.state,
+      lateral (select case when m.then_state = 2 then 3 else 2 end as forward) f,
+      lateral (
+        select 'D' as label, 3 as cost, m.then_state as state, []::varchar[] as said
+        union all
+        select 'K', (c.fault = 't')::int, case c.initial when 's' then 1 else f.forward end, [c.role || ':' || c.text]
+        where c.fault in ('t', '-') and ((c.initial = 's' and m.then_state = 0) or (c.initial = 'u' and f.forward = 2) or (c.initial = 'a' and f.forward = 3))
+        union all
+        select 'R', 2 + (c.fault = 't')::int, f.forward, [case f.forward when 2 then 'user:' else 'assistant:' end || c.text] where c.fault in ('t', '-')) e
+    group by c.cid, c.n, e.state)),
+ends as (
+  select cid, min({{'cost': p.cost + 2 * length(m.inserts), 'audit': p.audit || m.inserts, 'said': p.said || m.said}}) as best
+  from paths p join moves m on m.state = p.state and m.then_state in (0, 3) where p.n = (select count(*) from coded c where c.cid = p.cid) group by cid),
+facts as (
+  select cid, count(*) filter (where fault = 'b') as blank, count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated,
+    count(*) filter (where before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps from coded group by cid)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  best.cost::bigint as cost, best.audit as audit, sha256(array_to_string(best.said, chr(10))) as repaired_sha256
+from ids join ends using (cid) left join facts using (cid)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_derivatives": OP2,
     "op3_secret_scan": OP3,
@@ -165,4 +215,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_extendible_sharding": OP7,
     "op8_substring_dedup": OP8,
     "op10_quality_rules": OP10,
+    "op12_conversation_repair": OP12,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .conversation_repair import conversation_repair
 from .embedding_dedup import embedding_links
 from .lm_scoring import score_documents
 from .mixing import mix
@@ -72,10 +73,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_warc_derivatives, op3_secret_scan, op4_mix_sources, op5_embedding_dedup,
         op6_simhash_dedup, op7_extendible_sharding, op8_substring_dedup, op9_best_fit_packing, op10_quality_rules,
+        op12_conversation_repair,
     )
 }

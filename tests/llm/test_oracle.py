@@ -12,7 +12,7 @@ KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "
 @pytest.fixture(scope="module")
 def db():
     found = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         found.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return found
 
