@@ -18,6 +18,7 @@ from .sharding import shards
 from .simhash import simhash_dedup
 from .substring_dedup import window_removal
 from .warc_derivatives import derivatives
+from .whitening import whiten
 
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
 
@@ -73,6 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair(read(spark, sf_dir, "conversations"))
 
@@ -82,6 +87,6 @@ QUERIES = {
     for f in (
         op1_lm_scoring, op2_warc_derivatives, op3_secret_scan, op4_mix_sources, op5_embedding_dedup,
         op6_simhash_dedup, op7_extendible_sharding, op8_substring_dedup, op9_best_fit_packing, op10_quality_rules,
-        op12_conversation_repair,
+        op11_embedding_whitening, op12_conversation_repair,
     )
 }
