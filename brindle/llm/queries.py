@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .conversation_repair import conversation_repair
 from .embedding_dedup import embedding_links
+from .language_id import language_id
 from .lm_scoring import score_documents
 from .mixing import mix
 from .oracle import ORACLE_SQL
@@ -23,13 +24,14 @@ from .whitening import whiten
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file that ``op9`` and the pipeline pack by."""
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """A vocabulary file; by default the one that ``op9`` and the pipeline pack by."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +84,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair(read(spark, sf_dir, "conversations"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_warc_derivatives, op3_secret_scan, op4_mix_sources, op5_embedding_dedup,
         op6_simhash_dedup, op7_extendible_sharding, op8_substring_dedup, op9_best_fit_packing, op10_quality_rules,
-        op11_embedding_whitening, op12_conversation_repair,
+        op11_embedding_whitening, op12_conversation_repair, op13_language_id,
     )
 }
