@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.scan import MOST, Blocks
+
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, right_time: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, right_time: str, values: list[str], most: int = MOST) -> DataFrame:
     """For each left row, ``values`` of the last right row of the same key at or before its time.
 
     Both sides are put in one stream by key and time and the last right row is carried forward, so that
-    the cost is one shuffle and one sort, where an inequality join would compare all pairs of a key.
-    Right rows with equal key and time: the largest values win. Null keys match nothing.
+    the cost is one shuffle and one sort, where an inequality join would compare all pairs of a key. A key of more than
+    ``most`` rows goes in blocks (see scan.Blocks), so that no task holds it whole.
+    Right rows with equal key and time: the largest values win. Left rows with a null key match nothing and are not shuffled.
     """
+    known = reduce(lambda a, k: a & F.col(k).isNotNull(), on, F.lit(True))
     carried = F.struct(F.col(right_time).alias("__at"), *[F.col(v) for v in values])
-    stream = left.withColumns({"__t": F.col(time), "__side": F.lit(1), "__r": F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType), "__own": F.struct(*left.columns)})
-    one = right.groupBy(*on, right_time).agg(F.max(F.struct(*values)).alias("__v")).select(*on, right_time, "__v.*")
-    moved = one.select(*on, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), carried.alias("__r"), F.lit(None).cast(stream.schema["__own"].dataType).alias("__own"))
-    both = stream.select(*on, "__t", "__side", "__r", "__own").unionAll(moved)
-    order = Window.partitionBy(*on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__r", F.last("__r", ignorenulls=True).over(order)).where("__side = 1")
-    known = F.lit(True)
-    for k in on:
-        known = known & F.col(f"__own.{k}").isNotNull()
-    return found.select("__own.*", *[F.when(known, F.col(f"__r.{v}")).alias(v) for v in values])
+    kind = right.select(carried.alias("x")).schema["x"].dataType
+    # rows of one key and time may be many: their number tells them apart, so that blocks can part them
+    stream = left.where(known).select(*on, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.monotonically_increasing_id().alias("__id"), F.lit(None).cast(kind).alias("__r"), F.struct(*[F.col(c) for c in left.columns]).alias("__own"))
+    one = right.where(known).groupBy(*on, right_time).agg(F.max(F.struct(*values)).alias("__v")).select(*on, right_time, "__v.*")
+    moved = one.select(*on, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__id"), carried.alias("__r"), F.lit(None).cast(stream.schema["__own"].dataType).alias("__own"))
+    found = Blocks.of(stream.unionAll(moved), on, ["__t", "__side", "__id"], most).scan(last={"__r": "__r"}).done().where("__side = 1")
+    met = found.select("__own.*", *[F.col(f"__r.{v}").alias(v) for v in values])
+    alone = left.where(~known).select(*left.columns, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
+    return met.unionAll(alone)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, high: Column, width: float) -> DataFrame:
@@ -35,7 +40,7 @@ def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, hi
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: str, salts: int) -> DataFrame:
-    """Inner join whose hot keys on the large side are dealt over ``salts`` tasks; the small side is repeated as often."""
-    left = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
+    """Inner join whose hot keys on the large side are dealt over ``salts`` tasks, equal rows too; the small side is repeated as often."""
+    left = large.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [on, "__salt"]).drop("__salt")

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +46,44 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+#: Paths written inside scratch(), innermost last; each thread of work has its own.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+def new_path(spark: SparkSession, what: str = "table") -> str:
+    """A fresh place in the shared folder; deleted on leaving scratch(), if inside one."""
+    path = f"{shared_dir(spark)}/brindle-{what}-{uuid.uuid4().hex}"
+    if _scratch.get():
+        _scratch.get()[-1].append(path)
+    return path
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back.
+
+    Cuts the lineage, so that a lost executor costs no more than the step at hand, and gives
+    Spark the true size of the table for its choice of joins.
+    """
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, what keep() and new_path() wrote inside: and nothing of any other query.
+
+    Results must be written or collected inside, as they may read such tables.
+    """
+    paths: list[str] = []
+    token = _scratch.set((*_scratch.get(), paths))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
