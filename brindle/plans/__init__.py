@@ -1,3 +1,3 @@
 """Queries by area; importing this package registers all of them in ``catalogue``."""
 
-from . import catalogue, analytic, extensions, formats, scalar, streams  # noqa: F401, I001
+from . import catalogue, analytic, extensions, formats, scalar, scale, streams  # noqa: F401, I001

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.numbers import histogram_bin
 from brindle.operators.joins import salted_join
+from brindle.operators.quantiles import quantiles
 from brindle.operators.windows import forward_fill
 from brindle.plans.catalogue import both, query
 from brindle.session import table
@@ -34,9 +35,8 @@ def mode_per_group(spark, d):
     quantile_disc(o_totalprice, 0.5) as middle from orders group by 1"""
 )
 def percentiles(spark, d):
-    p = F.col("o_totalprice")
-    disc = F.expr("percentile_disc(0.5) within group (order by o_totalprice)")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.percentile(p, F.lit(0.25)), 6).alias("low"), F.round(F.percentile(p, F.lit(0.9)), 6).alias("high"), disc.alias("middle"))
+    found = quantiles(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", {"low": (0.25, "cont"), "high": (0.9, "cont"), "middle": (0.5, "disc")})
+    return found.select("o_custkey", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "middle")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions.arrays import cosine, dot
 from brindle.functions.numbers import cents
 from brindle.operators.joins import asof_join, range_join
+from brindle.operators.quantiles import quantiles
 from brindle.operators.windows import sessions, top_per_group
 from brindle.session import table, views
 
@@ -126,10 +127,12 @@ def star_join(spark, d):
     count(*) filter (where l_returnflag = 'R') as returned from lineitem group by l_suppkey"""
 )
 def aggregates(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(
-        F.count_distinct("l_partkey").alias("parts"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"),
-        F.median("l_quantity").alias("middle"), F.count_if(F.col("l_returnflag") == "R").alias("returned"),
-    )
+    items = table(spark, d, "lineitem")
+    middle = quantiles(items, ["l_suppkey"], "l_quantity", {"middle": (0.5, "cont")})
+    found = items.groupBy("l_suppkey").agg(
+        F.count_distinct("l_partkey").alias("parts"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.count_if(F.col("l_returnflag") == "R").alias("returned")
+    )
+    return found.join(middle, "l_suppkey").select("l_suppkey", "parts", "low", "high", "middle", "returned")
 
 
 @query("select l_returnflag, round(stddev_samp(l_quantity), 6) as sd, round(var_pop(l_quantity), 6) as vp, round(corr(l_quantity, l_extendedprice), 6) as r from lineitem group by 1")
