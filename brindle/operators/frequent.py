@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import keep
+from brindle.session import keep, ship
 
 #: Tables of counters that one task of the merge takes.
 FAN_IN = 64
@@ -37,6 +37,7 @@ def heavy_hitters(df: DataFrame, column: str, share: float) -> DataFrame:
     if not 0 < share < 1:
         raise ValueError("a share lies between 0 and 1")
     most = ceil(1 / share)
+    ship(df.sparkSession)
     rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
     kind = rows.schema["value"].dataType.simpleString()
     ddl = f"value {kind}, n long, part long, total long"

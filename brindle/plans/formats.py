@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.plans.catalogue import query
-from brindle.session import shared_dir, table
+from brindle.session import new_path, table
 from brindle.sources import files
 
 
 def _path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/brindle-files-{uuid.uuid4().hex}"
+    return new_path(spark, "files")
 
 
 def _through(df: DataFrame, fmt: str, partition_by: list[str] | None = None) -> DataFrame:

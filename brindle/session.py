@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,3 +90,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """In local mode, give the Python workers this package wherever they were started.
+
+    On a cluster the package is installed, on PYTHONPATH or sent by --py-files.
+    """
+    sc = spark.sparkContext
+    if not sc.master.startswith("local[") or getattr(sc, "_brindle_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(), "brindle_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in (root / "brindle").rglob("*.py"):
+            z.write(p, str(p.relative_to(root)))
+    sc.addPyFile(target)
+    sc._brindle_sent = True
