@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from brindle.functions import tables
+from brindle.operators.sketches import rolled_up, set_estimates, sketches
 from brindle.plans.catalogue import query
 from brindle.session import table
 
@@ -80,3 +82,39 @@ def mapped_frames(spark, d):
             yield part[part["c_acctbal"] > 5000]
 
     return table(spark, d, "customer").select("c_custkey", "c_acctbal").mapInPandas(rich, "c_custkey long, c_acctbal double")
+
+
+@query(
+    """with marked as (select user_id, ts, value, case when value > lag(value) over (partition by user_id order by ts) then 0 else 1 end as fresh from events),
+    runs as (select *, sum(fresh) over (partition by user_id order by ts) as r from marked),
+    long as (select user_id, r, count(*) as length, min(value) as low, max(value) as high from runs group by user_id, r having count(*) >= 3)
+    select user_id, row_number() over (partition by user_id order by r) as run, length, low, high from long"""
+)
+def rising_runs(spark, d):
+    """Runs of three or more rising values of each user, by a function of a whole table that says itself how its rows are dealt."""
+    tables.register(spark)
+    table(spark, d, "events").select("user_id", "ts", "value").createOrReplaceTempView("events_of_users")
+    return spark.sql("select user_id, run, length, low, high from rises(table(events_of_users), 'user_id', 'ts', 'value', 3)")
+
+
+@query(
+    """with users as (select distinct event_type, user_id * 1000 + dayofyear(ts) as k from events),
+    counted as (select event_type, count(*) as n from users group by 1),
+    shared as (select a.event_type as a, b.event_type as b, count(*) as n from users a join users b on a.k = b.k and a.event_type < b.event_type group by all)
+    select x.event_type as a, y.event_type as b, x.n as in_a, x.n + y.n - coalesce(s.n, 0) as in_either, coalesce(s.n, 0) as in_both, x.n - coalesce(s.n, 0) as only_a, true as near
+    from counted x join counted y on x.event_type < y.event_type left join shared s on s.a = x.event_type and s.b = y.event_type"""
+)
+def sketched_sets(spark, d):
+    """Users by day that two types of events share: exact counts, and whether the sketches, kept by day and rolled up, are all within 6 % of the union."""
+    day = F.date_trunc("day", "ts")
+    e = table(spark, d, "events").select("event_type", day.alias("day"), (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("k"))
+    guess = set_estimates(rolled_up(sketches(e, ["event_type", "day"], "k"), ["event_type"]), "event_type")
+    users = e.select("event_type", "k").distinct()
+    kinds = users.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    both = users.toDF("a", "k").join(users.toDF("b", "k"), "k").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("in_both"))
+    pairs = kinds.toDF("a", "in_a").join(kinds.toDF("b", "in_b"), F.col("a") < F.col("b")).join(both, ["a", "b"], "left").withColumn("in_both", F.coalesce("in_both", F.lit(0)))
+    exact = pairs.select("a", "b", "in_a", (F.col("in_a") + F.col("in_b") - F.col("in_both")).alias("in_either"), "in_both", (F.col("in_a") - F.col("in_both")).alias("only_a"))
+    names = ("in_a", "in_either", "in_both", "only_a")
+    told = exact.join(guess.withColumnsRenamed({n: f"guess_{n}" for n in names}), ["a", "b"])
+    near = F.greatest(*[F.abs(F.col(n) - F.col(f"guess_{n}")) for n in names]) <= 0.06 * F.col("in_either")
+    return told.select("a", "b", *names, near.alias("near"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from brindle.plans.catalogue import query
 from brindle.session import new_path, table
-from brindle.sources import files
+from brindle.sources import files, keyed
+from brindle.sources.snapshots import Snapshots
+from brindle.streaming import events as ev
 
 
 def _path(spark: SparkSession) -> str:
@@ -73,3 +75,42 @@ def scan_bucketed(spark, d):
         files.write_bucketed(df, name, [key], 8, _path(spark))
     joined = spark.table(names[0]).join(spark.table(names[1]), F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """with kept as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders), changed as (
+    select o_orderkey, o_custkey, o_orderstatus, case when o_custkey % 5 = 0 then round(o_totalprice * 2, 2) else o_totalprice end as o_totalprice from kept
+    where not (o_orderstatus = 'P' and o_custkey % 5 = 1) union all select -1 - c_custkey, c_custkey, 'N', c_acctbal from customer)
+    select 0 as version, * from kept union all select 1, * from changed"""
+)
+def snapshot_versions(spark, d):
+    """Orders in two versions: some dearer, some gone, one new for each customer; both are read from the table."""
+    names = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    orders = table(spark, d, "orders").select(*names)
+    made = Snapshots.create(orders, new_path(spark, "snapshots"), ["o_orderkey"], 16)
+    dearer = orders.where("o_custkey % 5 = 0").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"), F.lit(False).alias("gone"))
+    gone = orders.where("o_orderstatus = 'P' and o_custkey % 5 = 1").select(*names, F.lit(True).alias("gone"))
+    new = table(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit("N").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice"), F.lit(False).alias("gone"))
+    made.upsert(dearer.unionByName(gone).unionByName(new), "gone")
+    return made.read(0).select(F.lit(0).alias("version"), *names).unionAll(made.read(1).select(F.lit(1).alias("version"), *names))
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey >= 1000 and o_orderkey < 1200 and o_totalprice > 1000")
+def scan_own_format(spark, d):
+    """A range of keys from a data source of our own: files out of the range are not opened."""
+    at = new_path(spark, "keyed")
+    keyed.register(spark)
+    table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").repartitionByRange(8, "o_orderkey").write.format(keyed.NAME).option("key", "o_orderkey").mode("append").save(at)
+    return keyed.load(spark, at, "o_orderkey", 1000, 1199).where("o_totalprice > 1000")
+
+
+@query("select event_type, count(*) as n, max(event_id) as last from events group by 1")
+def stream_own_format(spark, d):
+    """The same source as a stream of two commits."""
+    at, e = new_path(spark, "keyed"), table(spark, d, "events").select("event_id", "event_type")
+    keyed.register(spark)
+    for half in (0, 1):
+        e.where(F.col("event_id") % 2 == half).write.format(keyed.NAME).option("key", "event_id").mode("append").save(f"{at}/in")
+    rows = spark.readStream.format(keyed.NAME).option("key", "event_id").load(f"{at}/in")
+    ev.to_files(rows, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
