@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.arrays import cosine, dot
+from brindle.functions.arrays import dot
 from brindle.functions.numbers import cents
 from brindle.operators.joins import asof_join, range_join
 from brindle.operators.quantiles import quantiles
+from brindle.operators.vectors import cosine_search
 from brindle.operators.windows import sessions, top_per_group
 from brindle.session import table, views
 
@@ -261,13 +262,12 @@ def arrays(spark, d):
 
 @query(
     """select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cos from embeddings a, embeddings b
-    where a.vec_id % 20 = 0 and b.label = a.label and b.vec_id <> a.vec_id and round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) > 0.3"""
+    where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id and round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) > 0.3"""
 )
 def similar_vectors(spark, d):
+    """The queries, every twentieth id, against all rows of any label."""
     v = table(spark, d, "embeddings")
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    found = asked.join(v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")), "label").where("a <> b")
-    return found.select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("cos")).where("cos > 0.3")
+    return cosine_search(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 0.3)
 
 
 @query("select conv_id, role, count(*) as n, max(length(text)) as longest from conversations group by all")
@@ -279,3 +279,13 @@ def conversation_turns(spark, d):
 def label_summary(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id")
     return rows.groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# The tables hold no nulls: these make their own, of outer joins and nullif.
+both("not_in_with_nulls", "select c_custkey from customer where c_custkey not in (select nullif(o_custkey, 4) from orders where o_totalprice > 100000)", "customer", "orders")
+both("null_aggregates", "select o_orderpriority, count(*) as n, count(l_quantity) as known, sum(l_quantity) as total, max(l_quantity) as high, count(distinct l_linenumber) as lines from orders left join lineitem on l_orderkey = o_orderkey and l_quantity > 48 group by o_orderpriority", "orders", "lineitem")
+both("null_groups", "select nullif(o_orderstatus, 'F') as status, nullif(o_orderpriority, '1-URGENT') as priority, count(*) as n from orders group by nullif(o_orderstatus, 'F'), nullif(o_orderpriority, '1-URGENT')", "orders")
+both("null_order", "select s_suppkey, nullif(s_nationkey, 3) as nation, row_number() over (order by nullif(s_nationkey, 3) desc nulls last, s_suppkey) * cast(1 as bigint) as place from supplier", "supplier")
+both("null_comparisons", "select a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b on nullif(a.s_nationkey, 1) is not distinct from nullif(b.s_nationkey, 2) and a.s_suppkey < b.s_suppkey", "supplier")
+both("null_sets", "select nullif(c_nationkey, 5) as k from customer intersect select nullif(s_nationkey, 5) from supplier", "customer", "supplier")
+both("null_logic", "select o_orderkey, (nullif(o_orderstatus, 'F') = 'O' and o_totalprice > 100000) as both_hold, (nullif(o_orderstatus, 'F') = 'O' or o_totalprice > 100000) as one_holds, coalesce(nullif(o_orderstatus, 'F'), 'none') as told from orders", "orders")

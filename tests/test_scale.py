@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators.frequent import heavy_hitters, shrunk
+from brindle.operators import vectors
 from brindle.operators.intervals import overlap_join
 from brindle.operators.patterns import Step, sequences
 from brindle.operators.quantiles import quantiles, ranked_values
@@ -151,3 +152,21 @@ def test_sequences(spark, most):
     steps = [(lambda r: r[3] == "v", None, None), (lambda r: r[3] in "cp", 30, lambda r: False), (lambda r: r[3] == "p", None, lambda r: r[3] in "ev")]
     want = [(k, *m) for k in (1, 2, None) for m in matched([r for r in rows if r[0] == k], steps)]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 20
+
+
+def test_cosine_search_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(rng.choice([2, 3]))]) for i in range(70)] + [(70, None), (71, [0.0, 0.0]), (72, [1.0, None]), (73, [float("nan"), 1.0]), (74, []), (5, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    want = []
+    for a, x in rows:
+        for b, y in rows:
+            if a % 7 == 0 and a != b and x and y and len(x) == len(y) and None not in (*x, *y) and any(x) and any(y):
+                cos = round(sum(p * q for p, q in zip(x, y)) / math.sqrt(sum(p * p for p in x) * sum(p * p for p in y)), 6)
+                if cos > 0.9:
+                    want.append((a, b, cos))
+    for most in ((3, 5), (1000, 1000)):
+        monkeypatch.setattr(vectors, "QUERIES", most[0])
+        monkeypatch.setattr(vectors, "ROWS", most[1])
+        got = [tuple(r) for r in vectors.cosine_search(df.where("id % 7 = 0"), df, "id", "v", 0.9).collect()]
+        assert sorted(got) == sorted(want)
