@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, null_safe, whole_row
 
 BITS, ROUND = 60, 12
 
@@ -50,8 +50,16 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     return done.select("doc_id", "n_bytes", F.concat(F.lit("s"), bits).alias("shard"), "depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = 1 << 27) -> None:
-    """Write the documents as Parquet, a folder for each shard; needs doc_id and text."""
-    at = shards(docs, limit=limit).select(F.col("doc_id").alias("__id"), "shard").distinct()
-    both = docs.join(at, docs["doc_id"].eqNullSafe(at["__id"])).drop("__id")
-    both.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = 1 << 27, folder: str = "shard") -> None:
+    """Write the documents as Parquet, a folder for each shard, named ``folder``=its bits; all columns as they are. Needs doc_id and text.
+
+    A shard that can't be split, as one id or no id has more than ``limit`` bytes, is written by as many tasks as it has
+    limits. Null ids and texts, repeated rows: see shards(). Empty table: no files. A column called ``folder`` is refused: name another.
+    """
+    if folder in docs.columns:
+        raise ValueError(f"the documents have a column {folder!r}: name the folders otherwise")
+    at = shards(docs, limit=limit).groupBy("doc_id").agg(F.first("shard").alias("shard"), F.max("shard_bytes").alias("bytes"))
+    own = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    tasks = F.greatest(F.ceil(F.col("bytes") / limit), F.lit(1))
+    both = null_safe(own, at, ["doc_id"]).select("row", "shard", F.pmod(F.monotonically_increasing_id(), tasks).alias("task"))
+    both.repartition("shard", "task").select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
