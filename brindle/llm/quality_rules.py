@@ -107,28 +107,30 @@ def quality_rules(
 
 
 def _trimmed(batches):
+    """(rest, text, drop_lines) to (rest, text) without the lines to drop."""
     for batch in sliced(batches):
         texts = []
-        for text, drop in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist()):
+        for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop_lines").to_pylist()):
             if drop:
                 gone = set(drop)
                 text = "\n".join(x for x in text.split("\n") if not x.encode().split() or line_hash(x.encode()) not in gone)
             texts.append(text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], ["rest", "text"])
 
 
 def apply_rules(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that the rules keep, without their lines above the limit; n_chars is counted anew.
+    """The documents that the rules keep, without their lines above the limit; n_chars is counted anew, where there is one.
 
-    Same columns as ``docs``, which has doc_id, text and source. Rows with equal doc_id and text share a verdict.
+    Same columns as ``docs``, whatever their names, of which doc_id, text and source are read. Rows with equal doc_id, source
+    and text share a verdict and each stays; null texts are empty, so they go. Null ids and sources: as any other. Very long
+    texts: whole. Empty table: no rows.
     """
     ship(docs.sparkSession)
-    keys = ["doc_id", "__host", "__text"]
-    said = quality_rules(docs, **limits).where("kept")
-    said = said.select("doc_id", F.col("host").alias("__host"), F.col("text_key").alias("__text"), F.col("drop_lines").alias("__drop"))
-    said = said.groupBy(*keys).agg(F.first("__drop").alias("__drop"))
-    keyed = docs.withColumn("__host", F.col("source").cast("string")).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = null_safe(keyed, said, keys).drop("__host", "__text")
-    out = joined.mapInArrow(_trimmed, joined.schema).drop("__drop")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    keys = ["doc_id", "host", "text_key"]
+    said = quality_rules(docs, **limits).where("kept").groupBy(*keys).agg(F.first("drop_lines").alias("drop_lines"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), others, "text")
+    joined = null_safe(own, said, keys).select("rest", "text", "drop_lines")
+    kept = joined.select("rest", "text").schema
+    out = joined.mapInArrow(_trimmed, kept)
+    return out.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
