@@ -5,7 +5,12 @@ from __future__ import annotations
 import html.entities
 import re
 
-from .secret_scan import BASE
+#: The base of the secret scan, written out on its own: kind, pattern, group of the value, least length.
+BASE = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
+    ("hex", r"([0-9a-f]+)", 1, 24),
+)
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,15 +21,24 @@ def _text(s: str) -> str:
 
 
 #: Written for this engine on its own, not from the operator's constants: dropped elements, line ends, other tags.
-_GONE = r"<!--.*?(-->|\z)|<(script)\b.*?(</script\s*>|\z)|<(style)\b.*?(</style\s*>|\z)|<(head)\b.*?(</head\s*>|<body\b[^<>]*>|\z)"
+_GONE = r"<!--.*?(-->|\z)|<(script)\b.*?(</script\s*>|\z)|<(style)\b.*?(</style\s*>|\z)"
+#: Elements whose start says that a head is over.
+_CONTENT = (
+    "a abbr address article aside audio b bdi bdo blockquote body br button canvas center cite code data datalist dd del details dfn dialog dir div dl dt em embed fieldset figure font footer form "
+    "frame frameset h1 h2 h3 h4 h5 h6 header hgroup hr html i iframe img input ins kbd label li main map mark marquee menu meter nav nobr object ol output p param picture pre progress q rp rt ruby s "
+    "samp search section select slot small source span strike strong sub summary sup svg table tbody td textarea tfoot th thead time tr track tt u ul var video wbr math"
+)
+_HEAD = rf"<head\b.*?(?:</head\s*>|(<(?:{_CONTENT.replace(' ', '|')})\b)|\z)"
+_INSIDE = r"""(?:(?:[^<>=]*=[ \t\r\n\f]*(?:"[^"<]*"|'[^'<]*')?){0,64}[^<>]*>|[^<>]*>)"""
 _BLOCKS = "p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer title main aside pre blockquote hr"
 _NAMED = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
 
 
 def _plain_text(page: str) -> str:
     out = f"regexp_replace({page}, {_text(_GONE)}, '', 'gis')"
-    out = rf"regexp_replace({out}, '</?({_BLOCKS.replace(' ', '|')})\b[^<>]*>', chr(10), 'gi')"
-    out = f"regexp_replace({out}, '<[a-z/!?][^<>]*>', '', 'gi')"
+    out = rf"regexp_replace({out}, {_text(_HEAD)}, '\1', 'gis')"
+    out = f"regexp_replace({out}, {_text(rf'</?({_BLOCKS.replace(' ', '|')})' + chr(92) + 'b' + _INSIDE)}, chr(10), 'gi')"
+    out = f"regexp_replace({out}, {_text('<[a-z/!?]' + _INSIDE)}, '', 'gi')"
     named = "map {" + ", ".join(f"{_text(n)}: {_text(c)}" for n, c in _NAMED.items()) + "}"
     name = "split_part(p, ';', 1)"
     point = f"case when regexp_full_match({name}, '#[0-9]{{1,7}}') then {name}[2:]::int when regexp_full_match({name}, '#[xX][0-9A-Fa-f]{{1,6}}') then ('0x' || {name}[3:])::int end"
@@ -78,7 +92,7 @@ matches as ({" union all ".join(_matches(i, *b) for i, b in enumerate(BASE))}),
 ended as (select *, sum(length(gap) + length(whole)) over (partition by rid, rank order by nth) as stop from matches),
 spans as (select rid, rank, kind, (stop - length(whole))::bigint as start, stop::bigint as stop, value, (stop - length(value))::bigint as value_start from ended where length(value) >= least),
 held as (
-  select value, count(distinct owner) <= 2 and (count(distinct owner) = 1 or count(distinct (owner, repo)) <= 20) as few,
+  select value, count(distinct owner) <= 2 as few,
     regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
     and (len(list_distinct(string_split(value, ''))) >= 8 or 3 * len(list_distinct(string_split(value, ''))) >= 2 * length(value))
     and not regexp_matches(value, '(?i)example|changeme|placeholder|dummy|xxxx|12345678') as generated

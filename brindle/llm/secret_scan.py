@@ -72,14 +72,14 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def secret_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", most_owners: int = 2, most_repos: int = 20,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", most_owners: int = 2,
 ) -> DataFrame:
     """(doc_id, text_key, spans, every, live, n_assign, n_access, n_hex, n_live, n_shared) for each row.
 
     Values of the base patterns are candidates. Their SHA-256 is counted over the corpus by distinct
-    repositories, summed to owners: a value that more than ``most_owners`` owners hold, or several owners
-    in more than ``most_repos`` repositories, is a widely copied example (n_shared), but never one of a single
-    owner; any other that looks generated is live, and gets a further span of kind "live" over the value
+    repositories, summed to owners: a value that more than ``most_owners`` owners hold is a widely copied example
+    (n_shared), however many repositories of theirs have it, so that it does not become one as a table grows;
+    any other that looks generated is live, and gets a further span of kind "live" over the value
     alone. One span per value and place. Values of letters alone or of digits alone are never live.
 
     Null text: empty. Null repository or owner: as "". Repeated rows: each is returned. Null ids: as any
@@ -88,7 +88,7 @@ def secret_scan(
     """
     found = candidates(docs, id_col, text_col, repo_col, owner_col)
     each = base_spans(found)
-    few = (F.col("n_owners") <= most_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= most_repos))
+    few = F.col("n_owners") <= most_owners
     live = F.when(few & plausible(F.col("value")), F.struct(F.col("v_start").alias("start"), "end"))
     span = F.struct("start", "rank", "end", "kind", "v_start", "value")
     said = each.join(keep(ownership(each)), "value_hash").groupBy("rid").agg(

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: What plain text drops whole: comments, scripts, styles and the head; what is not closed goes on to the end of the page.
-DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<head\b.*?(?:</head\s*>|<body\b[^<>]*>|\z)"
+#: What plain text drops whole: comments, scripts and styles; what is not closed goes on to the end of the page.
+DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+#: Then the head, which ends with its end tag or before the first tag of an element that no head can hold, as both </head> and <body> may be left out.
+HEAD = r"(?is)<head\b.*?(?:</head\s*>|(?=<(?!(?:base|basefont|bgsound|head|link|meta|noframes|noscript|script|style|template|title)\b)[a-z])|\z)"
+#: What is between a tag's name and its end: attributes, of which the first 64 may have a > in a quoted value, or anything but < and >.
+REST = r"""(?:(?:[^<>=]*+=[ \t\r\n\f]*+(?:"[^"<]*+"|'[^'<]*+')?+){0,64}+[^<>]*+>|[^<>]*+>)"""
 #: Tags that end a line, then all other tags; a < before anything but a letter, a slash, ! or ? is text.
-BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|main|aside|pre|blockquote|hr)\b[^<>]*>"
-TAGS = r"<[A-Za-z/!?][^<>]*>"
+BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|main|aside|pre|blockquote|hr)\b" + REST
+TAGS = r"<[A-Za-z/!?]" + REST
 #: Date of responses that have none, in RFC 3339 as WARC wants it.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -42,9 +46,11 @@ def decoded(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Text of a page: comments, scripts, styles and head go, block tags end lines, references are decoded, white space is joined.
 
+    A head without end tag ends where the page's content begins. A > in a quoted attribute does not end its tag.
+
     Each pattern passes once over the page, however many tags are left open.
     """
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, ""), BREAKS, "\n"), TAGS, "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, ""), HEAD, ""), BREAKS, "\n"), TAGS, "")
     text = F.regexp_replace(F.regexp_replace(decoded(text), "[ \u00a0\t\r\f]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
@@ -63,16 +69,17 @@ def derivatives(responses: DataFrame, id_col: str = "page_id", uri_col: str = "u
     refers_to_date, source_digest (of the response's payload), source_headers (its HTTP headers, kept),
     content_type, block_digest, content_length (bytes of block), block.
 
-    Dates (text in RFC 3339, or a timestamp) and HTTP headers are the table's where it has such columns; without
-    them, DATE and no headers, as nothing is known. Record ids follow from page_id, uri, date and payload digest,
+    Dates (text in RFC 3339, or a timestamp, which is written in UTC with its fraction; one without zone counts as UTC) and
+    HTTP headers are the table's where it has such columns; without them, DATE and no headers, as nothing is known. Record ids follow from page_id, uri, date and payload digest,
     so that reruns agree and captures differ. Repeated rows: the same capture met again, the same records again.
     Null or empty body: a conversion with an empty block. Null uri: target_uri is null, named as an empty one in
     ids. Null headers: none. Very long bodies: whole. Empty table: no rows. Other columns are not read.
     """
     date = F.lit(DATE)
     if date_col is not None:
-        timed = responses.schema[date_col].dataType.typeName().startswith("timestamp")
-        said = F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if timed else F.col(date_col).cast("string")
+        kind = responses.schema[date_col].dataType.typeName()
+        utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.unix_micros(date_col) / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")) if kind == "timestamp" else F.col(date_col)
+        said = F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z")) if kind.startswith("timestamp") else F.col(date_col).cast("string")
         date = F.coalesce(said, F.lit(DATE))
     head = F.lit("") if headers_col is None else F.coalesce(F.col(headers_col), F.lit(""))
     rows = responses.select(F.col(id_col).alias("page_id"), F.col(uri_col).alias("target_uri"), date.alias("warc_date"), head.alias("source_headers"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
@@ -98,8 +105,9 @@ def derivatives(responses: DataFrame, id_col: str = "page_id", uri_col: str = "u
 
 
 def record_text(warc_type: str = "warc_type") -> Column:
-    """A record of derivatives() as WARC/1.1 text, without the two line ends after it."""
-    line = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n")), F.lit(""))
+    """A record of derivatives() as WARC/1.1 text, without the two line ends after it. Line ends in a field's value are written as in a URI."""
+    plain = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    line = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), plain(c), F.lit("\r\n")), F.lit(""))
     named = (
         ("WARC-Type", warc_type), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To-Target-URI", "target_uri"),
         ("WARC-Date", "warc_date"), ("WARC-Refers-To-Date", "refers_to_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"),

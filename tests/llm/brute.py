@@ -48,7 +48,7 @@ def looks_generated(v):
     return bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v) and (len(set(v)) >= 8 or 3 * len(set(v)) >= 2 * len(v))) and not re.search("(?i)example|changeme|placeholder|dummy|xxxx|12345678", v)
 
 
-def secrets(rows, most_owners=2, most_repos=20):
+def secrets(rows, most_owners=2):
     """rows: (doc_id, text, source). [(doc_id, base spans, live [(start, end)])] in order."""
     spans = [(d, secret_spans(t), s) for d, t, s in rows]
     holders = defaultdict(set)
@@ -56,7 +56,7 @@ def secrets(rows, most_owners=2, most_repos=20):
         for x in found:
             holders[x[4]].add((s or "", "" if d is None else str(d)))
     owners = {v: len({o for o, _ in h}) for v, h in holders.items()}
-    few = {v for v, h in holders.items() if owners[v] == 1 or owners[v] <= most_owners and len(h) <= most_repos}
+    few = {v for v, h in holders.items() if owners[v] <= most_owners}
     return [(d, found, sorted({(x[2] - len(x[4]), x[2]) for x in found if x[4] in few and looks_generated(x[4])})) for d, found, _ in spans]
 
 

@@ -182,6 +182,55 @@ def test_warc(spark, tmp_path):
     assert warc_derivatives.derivatives(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_warc_dates_are_utc(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.sql("""select 1 as page_id, 'http://a/' as url, 'x' as html, timestamp '2024-01-01 12:00:00.5Z' as at union all select 2, 'http://a/', 'x', timestamp '2024-03-10 02:30:00Z'
+    union all select 3, 'http://a/', 'x', null union all select 4, 'http://a/', 'x', timestamp '1969-12-31 23:59:59.999999Z'""")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = {r["page_id"]: r["warc_date"] for r in warc_derivatives.derivatives(rows, date_col="at").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {1: "2024-01-01T12:00:00.5Z", 2: "2024-03-10T02:30:00Z", 3: warc_derivatives.DATE, 4: "1969-12-31T23:59:59.999999Z"}
+
+
+def test_line_ends_in_fields_do_not_end_a_record_head(spark):
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: x\n\n", "text")], "page_id long, url string, html string")
+    for r in warc_derivatives.derivatives(pages).select("block", warc_derivatives.record_text().alias("t")).collect():
+        head, _, block = r["t"].partition("\r\n\r\n")
+        assert block == r["block"] and head.count("WARC-Type: ") == 3 and "http://a/%0D%0AWARC-Type: x%0A%0A\r\n" in head
+
+
+def test_write_shards(spark, tmp_path):
+    rows = [(i if i % 3 else None, "é" * (i * 7 % 50), i, "s") for i in range(300)] + [(5, None, 1, "s"), (5, None, 1, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, task string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would put so few rows together
+    try:
+        sharding.write_shards(docs, str(tmp_path / "w"), limit=400)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "w"))
+    assert sorted((tuple(r)[:4] for r in back.collect()), key=repr) == sorted(rows, key=repr)
+    placed = {r["doc_id"]: r["shard"] for r in sharding.shards(docs, limit=400).collect()}
+    assert all(r["shard"] == placed[r["doc_id"]] for r in back.collect())
+    hot = back.where("doc_id is null").select(F.input_file_name().alias("f")).distinct().count()
+    assert hot > 2  # rows without an id can't be parted by it, but several tasks write them
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("shard", F.lit(1)), str(tmp_path / "x"))
+    sharding.write_shards(docs.withColumn("shard", F.lit(1)).limit(0), str(tmp_path / "y"), folder="part")
+
+
+def test_apply_rules_keeps_all_columns(spark, rows):
+    made = [(*r, i, "t", [i], 0) for i, r in enumerate(rows)] * 2
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, __host int, __text string, __drop array<int>, rest int")
+    got = quality_rules.apply_rules(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    facts = brute.quality([(r[1], r[3]) for r in rows])
+    want = [(r[0], f[7], *r[2:4], len(f[7]), i, "t", [i], 0) for i, (r, f) in enumerate(zip(rows, facts)) if f[6]] * 2
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
@@ -189,6 +238,14 @@ def test_warc(spark, tmp_path):
         ("it&#8217;s &#x27;x&#X27; &eacute;&euro;&nbsp;&amp;lt; &copy &nope; &#0; &#55296; &#1114112; & x; &#128512;", "it\u2019s 'x' \u00e9\u20ac &lt; &copy &nope; &#0; &#55296; &#1114112; & x; \U0001f600"),
         ("<p>a<script>x<!-- y</script><p>b<!-- c", "a\nb"),
         ("<head><title>t</title><body class=a>b</body>", "b"),
+        ("<html><head><title>T</title><p>Hello world", "Hello world"),
+        ("<head><meta name=a><!-- <p>no</p> --><script>'<p>'</script><link rel=b>Text only<div>x</div></head>y", "x\ny"),
+        ("<head><title>t</title><my-part>z", "z"),
+        ("<a title='x > y'>link</a><p class=\"a>b\" id='c'>d<img alt=\"1 > 0\">e", "link\nde"),
+        ("<a href=\"open>q <b>r</b><p don't>s's > t", "q r\ns's > t"),
+        ("<a " + "b=\"c\" " * 200 + ">d", "d"),
+        ("<a x=\"" * 100_000, ("<a x=\"" * 100_000)),
+        ("<head" + "<p" * 100_000, "<p" * 100_000),
         ("<header>h</header><a href='x'>y</a><!DOCTYPE z>1 <2", "h\ny1 <2"),
         ("<a " * 100_000 + "<!-- " * 100_000, ("<a " * 100_000).strip()),
         ("<p" * 100_000 + "<script>" + "a<b;" * 100_000, "<p" * 100_000),
