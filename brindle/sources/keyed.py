@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -176,8 +178,12 @@ class KeyedWriter(DataSourceArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session."""
+    """Make the format known to the session.
+
+    The classes are sent as they are, not by their names: the process that plans a Python stream is not given files sent to workers.
+    """
     ship(spark)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(KeyedFiles)
 
 

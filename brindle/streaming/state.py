@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -81,6 +83,7 @@ class Spells(StatefulProcessor):
 def spells(events: DataFrame, gap_seconds: int, late: str = "0 seconds") -> DataFrame:
     """(user_id, spell, started, ended, n) of each user's spells of events, appended when they have ended. events: (user_id, ts)."""
     ship(events.sparkSession)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the process that prepares the state is not given files sent to workers
     rows = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
     found = rows.select("user_id", "us", "ts").groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=Spells(gap_seconds * 1000), outputStructType=StructType.fromDDL("user_id long, spell long, started long, ended long, n long"), outputMode="Append", timeMode="EventTime"
