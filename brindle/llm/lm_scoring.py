@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from itertools import repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import keep, ship, sliced
@@ -37,14 +38,53 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def light(batches, column: int, rows: int, most: int = 1 << 24):
+    """Arrow batches of at most so many rows, and of at most about so many bytes of a column save where one row has more."""
+    for batch in sliced(batches, rows):
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield batch.slice(lo, hi - lo)
+
+
+def split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lowered, and how many each text has. Null: none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(text, ""))))
+    words, starts = lists.flatten(), lists.offsets.to_numpy()
+    sizes = np.diff(starts)
+    real = pc.not_equal(words, "")  # a text without a word is split into one empty one
+    none = np.flatnonzero(~real.to_numpy(zero_copy_only=False))
+    if len(none):
+        sizes = sizes.copy()
+        np.subtract.at(sizes, np.searchsorted(starts - starts[0], none, side="right") - 1, 1)
+        words = words.filter(real)
+    return words, sizes
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): tokens of docs (text), words with A-Z lowered and one end for each row."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    raw = words.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    low = raw.groupBy(F.translate("word", upper, lower).alias("word")).agg(F.sum("c").alias("c"))
-    ends = docs.agg(F.count(F.lit(1)).alias("c")).where("c > 0").select(F.lit(END).alias("word"), "c")
-    return low.unionAll(ends)
+    """(word, c): tokens of docs (text), words with A-Z lowered and one end for each row. Tasks count by batch, Spark adds up."""
+
+    def counted(batches):
+        for batch in light(batches, 0, 10_000):
+            found = pc.value_counts(split(batch.column(0))[0])
+            words, c = pa.concat_arrays([found.field(0), pa.array([END])]), np.append(found.field(1).to_numpy(), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([words, pa.array(c, pa.int64())], ["word", "c"])
+
+    return docs.select("text").mapInArrow(counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def most_frequent(counts: DataFrame, head: int) -> list[Row]:
+    """The first ``head`` rows of counts (word, c) by falling c, then word.
+
+    To the driver go, for each count there is, how many words have it (as many rows as the root of twice the
+    number of tokens at most), then partitions of the sorted rows one at a time until there are enough. A limit would send
+    it ``head`` rows of each partition.
+    """
+    least, above = 0, 0
+    for r in sorted(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if above < head:
+            least, above = r["c"], above + r["n"]
+    return list(islice(counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toLocalIterator(), head))
 
 
 class Model:
@@ -69,10 +109,25 @@ class Model:
         mass = counts[self.first :] + 1.0
         self.ends = np.searchsorted(mine, np.arange(self.first, shape.classes), side="right")
         self.starts = np.r_[0, self.ends[:-1]]
-        self.cum = np.cumsum(mass)
         total = np.bincount(mine - self.first, weights=mass, minlength=shape.buckets)
         self.near = (mass / total[mine - self.first]).astype(np.float32)  # an item's share of its bucket
         self.e = np.log(self.near)
+        self.kept, self.instead = self.aliases()
+
+    def aliases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Walker's tables for draws by ``near``: an item met evenly in its bucket is kept with this chance, else another item of the bucket comes instead."""
+        kept, instead = np.ones(len(self.near)), np.arange(len(self.near))
+        for lo, hi in zip(self.starts.tolist(), self.ends.tolist()):
+            share = self.near[lo:hi].astype(np.float64)
+            left = (share / share.sum() * (hi - lo)).tolist()
+            small, large = [i for i, x in enumerate(left) if x < 1], [i for i, x in enumerate(left) if x >= 1]
+            while small and large:
+                i, j = small.pop(), large[-1]
+                kept[lo + i], instead[lo + i] = left[i], lo + j
+                left[j] -= 1 - left[i]
+                if left[j] < 1:
+                    small.append(large.pop())
+        return kept, instead
 
     def values(self) -> tuple[np.ndarray, ...]:
         return (*self.c, self.r, self.b, self.v, self.e)
@@ -104,70 +159,120 @@ class Model:
         return flat, np.flatnonzero(at)
 
     def contexts(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        q = self.c[0][flat[at - 1]]
+        q = self.c[0].take(flat.take(at - 1), axis=0)
         for i in range(1, self.shape.context):
-            q = q + self.c[i][flat[at - 1 - i]]
+            q += self.c[i].take(flat.take(at - 1 - i), axis=0)
         return q
 
     def drawn(self, rng, buckets: np.ndarray) -> np.ndarray:
         """For each token's bucket ``near`` of its items, at random by their shares."""
-        low = np.where(self.starts > 0, self.cum[self.starts - 1], 0.0)[buckets][:, None]
-        at = low + rng.random((len(buckets), self.shape.near)) * (self.cum[self.ends[buckets] - 1][:, None] - low)
-        return np.clip(np.searchsorted(self.cum, at, side="right"), self.starts[buckets][:, None], self.ends[buckets][:, None] - 1)
+        x = rng.random((len(buckets), self.shape.near)) * (self.ends - self.starts)[buckets][:, None]
+        k = x.astype(np.int64)
+        x -= k
+        k += self.starts[buckets][:, None]
+        return np.where(x < self.kept.take(k), k, self.instead.take(k))
 
     def learn(self, flat: np.ndarray, at: np.ndarray, rng, squares: list[np.ndarray]) -> None:
         """One pass of noise-contrastive estimation, classes and items of buckets at once. Noise classes are shared in a
-        mini-batch, noise items drawn for each token. squares: sums of squared gradients, as values()."""
-        s = self.shape
+        mini-batch, noise items drawn for each token. squares: sums of squared gradients, as values().
+
+        Within the pass a row holds a vector, then its bias, then zeros up to an even width; q has a one where the bias is.
+        """
+        s, dims, places = self.shape, self.shape.dims, len(self.class_of) + 1
+        width = dims + 1 + (dims + 1) % 2
         parts = max(1, -(-len(at) // s.batch))
-        log_k, log_near_k = np.float32(np.log(s.noise)), np.float32(np.log(s.near))
-        log_noise, log_near = np.log(self.noise), np.log(self.near)
+        off_r, off_v = np.log(self.noise) + np.float32(np.log(s.noise)), np.log(self.near) + np.float32(np.log(s.near))
         draws = rng.choice(s.classes, size=(parts, s.noise), p=self.noise.astype(np.float64) / self.noise.sum(dtype=np.float64))
 
-        def pull(d):  # 1 - sigmoid
-            return 1 / (1 + np.exp(np.clip(d, -30, 30)))
-
-        def summed(index, values):
-            """Rows that occur, and the sums of their values."""
-            order = np.argsort(index.astype(np.int16), kind="stable")  # items fit, and short numbers sort by radix
-            index = index[order]
-            ends = np.flatnonzero(np.r_[index[1:] != index[:-1], True])
-            upto = np.cumsum(values[order], axis=0, dtype=np.float64)[ends]
-            upto[1:] -= upto[:-1].copy()
-            return index[ends], upto.astype(np.float32)
-
-        def move(value, square, rows, g):
-            g = g * np.float32(1 / len(pos))
-            square[rows] = to = square[rows] + g * g
-            value[rows] += np.float32(s.step) * g / (np.sqrt(to) + np.float32(1e-6))
+        def wide(vectors, biases=None):
+            out = np.zeros((len(vectors), width), dtype=np.float32)
+            out[:, :dims] = vectors
+            if biases is not None:
+                out[:, dims] = biases
+            return out
+
+        def three(values):
+            *c, r, b, v, e = values
+            return wide(np.concatenate(c)), wide(r, b), wide(v, e)
 
+        def pull(d):  # 1 - sigmoid
+            np.exp(np.clip(d, -30, 30, out=d), out=d)
+            d += 1
+            return np.divide(1, d, out=d)
+
+        def move(value, square, index, rows):
+            """A step by the mean gradient: rows summed by index. rows(order) are those in this order."""
+            order = np.argsort(index.astype(np.int16), kind="stable")  # short numbers sort by radix
+            index = index.take(order)
+            starts = np.append(0, np.flatnonzero(index[1:] != index[:-1]) + 1)
+            g = np.add.reduceat(rows(order).view(np.complex64), starts, axis=0).view(np.float32)  # two sums at a time
+            g *= np.float32(1 / len(pos))
+            where = index.take(starts)
+            to = square.take(where, axis=0)
+            to += g * g
+            square[where] = to
+            np.sqrt(to, out=to)
+            to += np.float32(1e-6)
+            g *= np.float32(s.step)
+            g /= to
+            value[where] += g
+
+        (c, r, v), (c_sq, r_sq, v_sq) = three(self.values()), three(squares)
         for j in range(parts):
             pos, noise = at[j::parts], draws[j]
-            own = flat[pos]
-            target, q = self.class_of[own], self.contexts(flat, pos)
-            r_t, r_n = self.r[target], self.r[noise]
-            g_t = pull(np.einsum("ij,ij->i", q, r_t) + self.b[target] - log_noise[target] - log_k)
-            g_n = -pull(-(q @ r_n.T + (self.b[noise] - log_noise[noise] - log_k)))
-            g_q = g_t[:, None] * r_t + g_n @ r_n
-            pulls = np.concatenate([np.concatenate([g_t[:, None] * q, g_t[:, None]], axis=1), np.concatenate([g_n.T @ q, g_n.sum(0)[:, None]], axis=1)])
-            one, g_one = summed(np.concatenate([target, noise]), pulls)
+            own = flat.take(pos)
+            target = self.class_of.take(own)
+            before = [flat.take(pos - 1 - i) + i * places for i in range(s.context)]
+            q = c.take(before[0], axis=0)
+            for x in before[1:]:
+                q += c.take(x, axis=0)
+            q[:, dims] = 1
+            r_t, r_n = r.take(target, axis=0), r[noise]
+            g_t = pull(np.einsum("ij,ij->i", q, r_t) - off_r.take(target))[:, None]
+            g_n = -pull(off_r[noise] - q @ r_n.T)
+            r_t *= g_t
+            g_q = np.add(r_t, g_n @ r_n, out=r_t)
+            g_one = np.concatenate([g_t * q, g_n.T @ q])
 
             inner = np.flatnonzero(own >= self.first)
-            items, q_in = own[inner] - self.first, q[inner]
-            other = self.drawn(rng, target[inner] - self.first)
-            v_t, v_n = self.v[items], self.v[other]
-            h_t = pull(np.einsum("ij,ij->i", q_in, v_t) + self.e[items] - log_near[items] - log_near_k)
-            h_n = -pull(-(np.einsum("ij,ikj->ik", q_in, v_n) + self.e[other] - log_near[other] - log_near_k))
-            g_q[inner] += h_t[:, None] * v_t + np.einsum("ik,ikj->ij", h_n, v_n)
-            pulls = np.concatenate([np.concatenate([h_t[:, None] * q_in, h_t[:, None]], axis=1), np.concatenate([h_n[:, :, None] * q_in[:, None, :], h_n[:, :, None]], axis=2).reshape(-1, s.dims + 1)])
-            two, g_two = summed(np.concatenate([items, other.ravel()]), pulls) if len(items) else (items, pulls)
-            for i in range(s.context):
-                move(self.c[i], squares[i], *summed(flat[pos - 1 - i], g_q))
-            for value, square, rows, g in zip(self.values()[s.context :], squares[s.context :], (one, one, two, two), (g_one[:, :-1], g_one[:, -1], g_two[:, :-1], g_two[:, -1])):
-                move(value, square, rows, g)
-
-    def log10(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each token's item: batched products with all class vectors, then with all items of its bucket, normalised over them."""
+            if len(inner):
+                q_in = q.take(inner, axis=0)
+                items = np.concatenate([own.take(inner)[:, None] - self.first, self.drawn(rng, target.take(inner) - self.first)], axis=1)
+                v_n = v.take(items, axis=0)
+                d = np.einsum("ij,ikj->ik", q_in, v_n)
+                d -= off_v.take(items)
+                d[:, 1:] *= -1
+                h = pull(d)
+                h[:, 1:] *= -1
+                g_q[inner] += np.einsum("ik,ikj->ij", h, v_n)
+                move(v, v_sq, items.ravel(), lambda order: h.take(order)[:, None] * q_in.take(order // h.shape[1], axis=0))
+            move(r, r_sq, np.concatenate([target, noise]), lambda order: g_one.take(order, axis=0))
+            g_q[:, dims:] = 0
+            for x in before:
+                move(c, c_sq, x, lambda order: g_q.take(order, axis=0))
+        for values, (c, r, v) in ((self.values(), (c, r, v)), (squares, (c_sq, r_sq, v_sq))):
+            for to, x in zip(values, (*np.split(c[:, :dims], s.context), r[:, :dims], r[:, dims], v[:, :dims], v[:, dims])):
+                to[...] = x
+
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each position of a context the largest score that each item there gives to a class, and exp of the scores of all classes less that.
+
+        As q is a sum over positions, exp of a token's scores of all classes is the product of its items' rows.
+        """
+        out = []
+        for i in range(self.shape.context):
+            x = self.c[i] @ self.r.T
+            if i == 0:
+                x += self.b
+            most = x.max(axis=1)
+            x -= most[:, None]
+            out.append((most, np.exp(x, out=x)))
+        return out
+
+    def log10(self, flat: np.ndarray, at: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """log10 probability of each token's item: its class among all, by products of tables() (those of the model as it is), then
+        the item among all of its bucket, by batched products with their vectors."""
+        tables = tables or self.tables()
         r = np.ascontiguousarray(np.concatenate([self.r, self.b[:, None]], axis=1).T)
         v = np.ascontiguousarray(np.concatenate([self.v, self.e[:, None]], axis=1).T)
         q = np.concatenate([self.contexts(flat, at), np.ones((len(at), 1), np.float32)], axis=1)
@@ -176,20 +281,36 @@ class Model:
 
         def own_share(q, vectors, own):
             out = np.empty(len(own), dtype=np.float32)
+            reach = np.sqrt(np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->j", vectors, vectors).max())
             for i in range(0, len(own), 512):  # as much as a processor's cache holds
                 scores = q[i : i + 512] @ vectors
-                scores -= scores.max(axis=1, keepdims=True)
+                if not reach < 80:  # else no score leaves the range of exp
+                    scores -= scores.max(axis=1, keepdims=True)
                 mine = scores[np.arange(len(scores)), own[i : i + 512]]
                 out[i : i + 512] = mine - np.log(np.exp(scores, out=scores).sum(axis=1))
             return out
 
-        out = own_share(q, r, classes).astype(np.float64)
-        order = np.argsort(classes, kind="stable")
+        out = np.einsum("ij,ij->i", q, r.T.take(classes, axis=0)).astype(np.float64)
+        total, ones = np.empty(len(at), dtype=np.float32), np.ones(self.shape.classes, dtype=np.float32)
+        before = [flat.take(at - 1 - i) for i in range(self.shape.context)]
+        for i in range(0, len(at), 256):
+            x = tables[0][1].take(before[0][i : i + 256], axis=0)
+            for (_, table), items in zip(tables[1:], before[1:]):
+                x *= table.take(items[i : i + 256], axis=0)
+            total[i : i + 256] = x @ ones
+        low = np.flatnonzero(~(total > 1e-20))  # rows whose large numbers don't meet: products may have left the range
+        total[low] = 1
+        out -= np.log(total)
+        for (most, _), items in zip(tables, before):
+            out -= most.take(items)
+        if len(low):
+            out[low] = own_share(q[low], r, classes[low])
+        order = np.argsort(classes.astype(np.int16), kind="stable")
         cuts = np.searchsorted(classes[order], np.arange(self.first, self.shape.classes + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():  # of each bucket that occurs
             mine, lo, hi = order[cuts[k] : cuts[k + 1]], self.starts[k], self.ends[k]
             if hi - lo > 1:
-                out[mine] += own_share(q[mine], v[:, lo:hi], own[mine] - self.first - lo)
+                out[mine] += own_share(q.take(mine, axis=0), v[:, lo:hi], own[mine] - self.first - lo)
         return out / np.log(10)
 
 
@@ -232,7 +353,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = keep(token_counts(rows.where(~held_out(F.col("doc_id")))))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()  # bounded by head
+    top = most_frequent(counts, head)
     ends = counts.where(F.col("word") == END).first()
     named = [r["word"].encode() for r in top if r["word"] != END]
     own, nearer = named[: shape.words], named[shape.words :][: shape.items]
@@ -261,6 +382,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     item_c[rest_item] = rest_c
     rest_total = rest_c + SMOOTH * (rest_v + 1)
     places = {w: i for i, w in enumerate(count)}
+    head_words = pa.array([w.decode() for w in places], pa.string())
     top_c = np.array(list(count.values()))
     place_item = np.array([item.get(w, -1) if w in item else rest_item[shape.bucket_of(w) - shape.words - 1] for w in places])
     shared = np.array([w not in item for w in places])
@@ -269,31 +391,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     new_base = float(np.log10(SMOOTH / (n + SMOOTH * (v + 1))))
 
     def encode(batches):
-        get, end, place_known = places.get, places[END.encode()], (top_c > 0).astype(np.int64)
-        buckets: dict[bytes, int] = {}
-        for batch in sliced(batches, 500):
-            cols: list[list] = [[], [], [], [], [], []]
-            for text in batch.column(2).to_pylist():
-                words = (text or "").encode().lower().split()
-                at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
-                rest = [words[i] for i in np.flatnonzero(at < 0).tolist()]
-                if len(buckets) > 300_000:
-                    buckets.clear()
-                for w in rest:
-                    if w not in buckets:
-                        buckets[w] = int(rest_item[shape.bucket_of(w) - shape.words - 1])
-                at = np.append(at, end)
-                kind = place_item[at]
-                kind[:-1][at[:-1] < 0] = [buckets[w] for w in rest]
-                here = at[at >= 0]
-                cols[0].append(len(at))
-                cols[1].append(int(place_known[here].sum()))
-                cols[2].append(float(place_base[here].sum()))
-                cols[3].append(float(place_share[here].sum()))
-                cols[4].append(kind.astype(np.int16).tobytes())
-                cols[5].append([w.decode() for w in rest])
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(cols, kinds))], ["rid", "doc_id", "n_tokens", "n_known", "base", "share", "kinds", "rest"])
+        end, place_known, place_kind = places[END.encode()], (top_c > 0).astype(np.int64), place_item.astype(np.int16)
+        for batch in light(batches, 2, 1000):
+            words, sizes = split(batch.column(2))
+            place = pc.fill_null(pc.index_in(words, value_set=head_words), -1).to_numpy(zero_copy_only=False)
+            known = place >= 0
+            rest = words.filter(pa.array(~known))
+            kind = place_kind.take(place, mode="clip")
+            endings = pc.utf8_slice_codeunits(rest, -2).dictionary_encode()  # each ending of a batch is looked up once
+            kind[~known] = np.array([rest_item[shape.bucket_of(w.encode()) - shape.words - 1] for w in endings.dictionary.to_pylist()], np.int16)[endings.indices.to_numpy()]
+            # Of each word and each end in turn; an end comes after the words of its text.
+            lengths = sizes + 1
+            upto = np.cumsum(lengths)
+            is_end = np.zeros(upto[-1], dtype=bool)
+            is_end[upto - 1] = True
+            kinds = np.full(upto[-1], shape.words, dtype=np.int16)
+            kinds[~is_end] = kind
+
+            def summed(x):
+                out = np.full(upto[-1], x[end])
+                out[~is_end] = np.where(known, x.take(place, mode="clip"), 0)
+                return np.add.reduceat(out, upto - lengths)
+
+            sums = [summed(x) for x in (place_known, place_base, place_share)]
+            rest_upto = np.append(0, np.cumsum(~known))[np.append(0, np.cumsum(sizes))].astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, 2 * upto).astype(np.int32)), pa.py_buffer(kinds)])
+            cols = [pa.array(lengths, pa.int64()), *(pa.array(x, k) for x, k in zip(sums, (pa.int64(), pa.float64(), pa.float64()))), raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.ListArray.from_arrays(pa.array(rest_upto), rest)], ["rid", "doc_id", "n_tokens", "n_known", "base", "share", "kinds", "rest"])
 
     coded = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     coded = keep(coded.mapInArrow(encode, "rid long, doc_id long, n_tokens long, n_known long, base double, share double, kinds binary, rest array<string>"))
@@ -306,7 +430,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         squares = [np.full_like(x, shape.damp) for x in model.values()]  # what met little moves little
         rng, seen = np.random.default_rng(11), np.zeros(len(class_of))
         part = 0
-        for batch in sliced(batches, 400):
+        for batch in light(batches, 0, 400):
             part = batch.column(1)[0].as_py()
             items, at = model.tokens([np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in batch.column(0).to_pylist()])
             model.learn(items, at, rng, squares)
@@ -323,11 +447,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(batches):
         model = Model(shape, class_of, item_c).load(flat)
-        for batch in sliced(batches, 400):
+        tables = model.tables()
+        for batch in light(batches, 1, 400):
             texts = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in batch.column(1).to_pylist()]
             tokens, at = model.tokens(texts)
             ends = np.cumsum([len(t) for t in texts])
-            sums = np.add.reduceat(model.log10(tokens, at), np.r_[0, ends[:-1]])
+            sums = np.add.reduceat(model.log10(tokens, at, tables), np.r_[0, ends[:-1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], ["rid", "by_class"])
 
     by_class = keep(coded.select("rid", "kinds").mapInArrow(score, "rid long, by_class double"))
