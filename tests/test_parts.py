@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators.joins import asof_join, salted_join
 from brindle.operators.windows import forward_fill
+from brindle.plans import catalogue
 from brindle.session import table
 from brindle.sources import files
 from brindle.streaming import events as ev
@@ -26,6 +27,18 @@ def test_text_formats_need_a_schema(spark, tmp_path):
         files.read(spark, str(tmp_path), "csv")
 
 
+def test_csv_keeps_blanks_and_tells_empty_texts_from_null(spark, tmp_path):
+    texts = ["", None, " ", "  a", "a \t", "\n", "\na\r\n", "a\r", "\0a", "\x0b", ' "a" ', '"', "\\", "\\N", "\\\\N", "\\N\n", "a\\N", "a,b"]
+    rows = [(i, t, texts[-i]) for i, t in enumerate(texts)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.QUERIES["scan_csv"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(rows, key=repr)
+    one = df.select("text").coalesce(1)  # a line of nothing but an empty or a null text stays a row
+    files.write(one, str(tmp_path / "one"), "csv")
+    assert [r["text"] for r in files.read(spark, str(tmp_path / "one"), "csv", one.schema).collect()] == [*texts, None]
+
+
 def test_asof_takes_the_last_at_or_before(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 3), (None, 3)], "k int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (1, 6, "c"), (None, 1, "z")], "k int, rt int, v string")
