@@ -46,15 +46,22 @@ class Blocks:
     def of(df: DataFrame, keys: list[str], order: list[str], most: int = MOST) -> Blocks:
         """Count the rows of each key; those of hot keys go by range into blocks of about ``most`` / 2 rows, written once.
 
-        Rows of equal key and order stay in one block, so ``order`` should end in a column that tells rows apart where
-        a key may hold more than ``most`` rows of one time.
+        Where that would make more partitions than Spark shuffles into, and than tasks of MOST / 2 rows need, a partition
+        is sorted and cut into blocks: neither tasks nor files are as many as small blocks are. Rows of equal key and
+        order may then lie in two blocks, so ``order`` should end in a column that tells rows apart.
         """
         hot = hot_keys(df, keys, most)
         many = hot.agg(F.sum("__rows")).first()[0]
         if not many:
             return Blocks(df.withColumn("__block", F.lit(-1)), keys, order, False)
         cold, rest = parted(df, hot, keys)
-        ranged = rest.repartitionByRange(-(-2 * many // most), *keys, *order).withColumn("__block", F.spark_partition_id())
+        blocks, tasks = -(-2 * many // most), max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * many // MOST))
+        ranged = rest.repartitionByRange(min(blocks, tasks), *keys, *order)
+        if blocks <= tasks:
+            ranged = ranged.withColumn("__block", F.spark_partition_id())
+        else:  # the number of the block's first row: partition in the upper bits, place there in the lower 33
+            row = F.monotonically_increasing_id()
+            ranged = ranged.sortWithinPartitions(*keys, *order).withColumn("__block", row).withColumn("__block", F.col("__block") - F.col("__block") % (1 << 33) % max(most // 2, 1))
         return Blocks(cold.withColumn("__block", F.lit(-1)).unionByName(keep(ranged)), keys, order, True)
 
     def scan(self, last: dict[str, str] | None = None, sums: dict[str, str] | None = None, previous: dict[str, str] | None = None) -> Blocks:

@@ -54,6 +54,39 @@ def test_a_hot_key_is_spread_evenly(spark, rows):
     assert len(blocks) >= 15 and max(blocks) <= 200
 
 
+def test_small_blocks_are_not_as_many_tasks(spark):
+    df = spark.range(4000).select((F.col("id") % 10 == 0).cast("int").alias("k"), F.pmod(F.col("id") * 7919, F.lit(4001)).alias("t"), F.col("id").alias("v"))
+    got = Blocks.of(df, ["k"], ["t"], 20)
+    assert len(got.rows.where("__block >= 0").inputFiles()) <= 4  # as many as Spark shuffles into here
+    sizes = [r["count"] for r in got.rows.groupBy("__block", "k").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 10
+    w = Window.partitionBy("k").orderBy("t")
+    want = df.select("k", "t", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lag("v").over(w).alias("p"))
+    assert found(got.scan(sums={"s": "v"}, previous={"p": "v"}).done().select("k", "t", "s", "p")) == found(want)
+
+
+def test_asof_looks_once_for_each_time(spark, monkeypatch):
+    """Many rows of few times: what is put in order is as many rows as there are times."""
+    left = spark.range(6000).select((F.col("id") % 2).alias("k"), (F.col("id") % 7 * 10).alias("t"), "id")
+    right = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") % 5 * 10 + 5).alias("rt"), F.col("id").alias("v"))
+    ordered, of = [], Blocks.of
+    monkeypatch.setattr(Blocks, "of", staticmethod(lambda df, *rest: ordered.append(df.count()) or of(df, *rest)))
+    got = asof_join(left, right, ["k"], "t", "rt", ["v"], 10).collect()
+    best = {}
+    for i in range(3000):
+        best[i % 2, i % 5 * 10 + 5] = i
+    want = [(i % 2, i % 7 * 10, i, best.get((i % 2, max((t for t in (5, 15, 25, 35, 45) if t <= i % 7 * 10), default=None)))) for i in range(6000)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert ordered == [2 * 7 + 2 * 5]
+
+
+def test_asof_null_times_match_nothing(spark):
+    left = spark.createDataFrame([(1, 5), (1, None), (None, 5), (1, 5)], "k int, t int")
+    right = spark.createDataFrame([(1, None, "n"), (1, 6, "late"), (None, 1, "z")], "k int, rt int, v string")
+    for most in (1, 1000):
+        assert found(asof_join(left, right, ["k"], "t", "rt", ["v"], most)) == found(spark.createDataFrame([(1, 5, None), (1, None, None), (None, 5, None), (1, 5, None)], "k int, t int, v string"))
+
+
 def test_asof_sessions_and_fill_in_blocks(spark, rows):
     left = rows.select("k", F.col("t"), "id").where("t is not null")
     right = rows.where("id % 3 = 0 and t is not null").select("k", F.col("t").alias("rt"), F.col("id").alias("v"))
