@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators.frequent import heavy_hitters, shrunk
-from brindle.operators import vectors
+from brindle.operators import intervals, vectors
 from brindle.operators.intervals import overlap_join
 from brindle.operators.patterns import Step, sequences
 from brindle.operators.quantiles import quantiles, ranked_values
@@ -111,6 +111,40 @@ def test_overlap_join(spark, base):
     assert overlap_join(left.limit(0), right, ("a0", "a1"), ("b0", "b1"), ["k"], base).count() == 0
 
 
+def made_by(plan, name):
+    """Rows that the nodes of a plan that has run have put out."""
+    kind = plan.nodeName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return [m for p in inner for m in made_by(p, name)] + ([plan.metrics().apply("numOutputRows").value()] if kind == name else [])
+
+
+def test_few_copies_of_spans_of_many_lengths(spark):
+    """Lengths as those of error_purchase_overlaps: the rows that are dealt out are less than twice the input's, four times for all copies of both steps."""
+    rng = random.Random(5)
+    a = [(i, s, s + round(rng.expovariate(1 / 3000))) for i in range(1500) for s in [rng.randint(0, 900_000)]]
+    b = [(i, s, s + round(rng.expovariate(1 / 50) ** 2)) for i in range(1500) for s in [rng.randint(0, 900_000)]]
+    left, right = spark.createDataFrame(a, "a int, a0 int, a1 int"), spark.createDataFrame(b, "b int, b0 int, b1 int")
+    joined = overlap_join(left, right, ("a0", "a1"), ("b0", "b1"))
+    got = sorted((r["a"], r["b"]) for r in joined.collect())
+    assert got == sorted((i, j) for i, x0, x1 in a for j, y0, y1 in b if x0 <= y1 and y0 <= x1)
+    assert sum(made_by(joined._jdf.queryExecution().executedPlan(), "Generate")) < 4 * 3000
+
+
+@pytest.mark.parametrize("row", [1e-3, 1e6])
+def test_overlap_join_on_many_levels_and_on_few(spark, monkeypatch, row):
+    monkeypatch.setattr(intervals, "ROW", row)
+    used, chosen = [], intervals._chosen
+    monkeypatch.setattr(intervals, "_chosen", lambda *x: used.append(chosen(*x)) or used[-1])
+    rng = random.Random(21)
+    span = lambda i, longest: (i, s := rng.randint(0, 3000), s + int(rng.choice([0, 2, 9, 40, rng.randint(0, longest)])))
+    for long_a, long_b in ((2500, 90), (90, 2500), (900, 900)):
+        a, b = [span(i, long_a) for i in range(200)], [span(i, long_b) for i in range(200)]
+        left, right = spark.createDataFrame(a, "a int, a0 int, a1 int"), spark.createDataFrame(b, "b int, b0 int, b1 int")
+        got = sorted((r["a"], r["b"]) for r in overlap_join(left, right, ("a0", "a1"), ("b0", "b1"), base=2.0).collect())
+        assert got == sorted((i, j) for i, x0, x1 in a for j, y0, y1 in b if x0 <= y1 and y0 <= x1)
+    assert all(len(levels) > 1 for levels in used) if row < 1 else min(map(len, used)) <= 2
+
+
 def test_long_spans_beside_short_ones_meet_few_others(spark):
     """Few spans are very long; the join is one of equal bins all the same."""
     n = 3000
